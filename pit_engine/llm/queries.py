@@ -23,6 +23,68 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pit_engine.llm.chat import fold, read_back, render, row_events
+
+    said = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    marked = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)], said.schema)
+    back = read_back(render(fold(row_events(said.unionByName(more)))))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+#: The template writes 26 characters around each turn's role and text, and one more for each control string in them.
+OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS role0, text AS text0 FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, len(regexp_extract_all(role, '<\|(?:turn|text|end)\|>|</?s>|\[/?INST\]|<</?SYS>>'))
+          + len(regexp_extract_all(text, '<\|(?:turn|text|end)\|>|</?s>|\[/?INST\]|<</?SYS>>')) AS marks
+  FROM c
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role0 NULLS FIRST, text0 NULLS FIRST) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role0 NULLS FIRST, text0 NULLS FIRST) FILTER (WHERE role = 'assistant'), '') AS learned,
+    3 + CAST(sum(8 + length(role) + 9 + length(text) + 9 + marks) AS BIGINT) AS formatted_chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars,
+       sha256(learned) AS loss_sha256, formatted_chars
+FROM g
+"""
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pit_engine.llm.warc import plan_records, read_archives, write_archives
+
+    manifest = write_archives(plan_records(_table(spark, sf_dir, "pages")))
+    chunks = read_archives(manifest, with_data=False)
+    return chunks.where("is_last").select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.topk import integer_vectors, top_k
 
@@ -49,9 +111,13 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_chat": op4_chat,
+    "op6_warc": op6_warc,
     "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat": OP4_SQL,
+    "op6_warc": OP6_SQL,
     "op10_topk": OP10_SQL,
 }
