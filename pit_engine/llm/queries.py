@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(spans: str, kind: str):
+    """n_kind: how many structs in ``spans`` are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.packing import pack_documents
 
@@ -85,6 +90,23 @@ FROM f
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pit_engine.llm.secrets import scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [_count("base", k) for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pit_engine.llm.langid import held_out, identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.topk import integer_vectors, top_k
 
@@ -113,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_chat": op4_chat,
     "op6_warc": op6_warc,
+    "op7_secrets": op7_secrets,
+    "op9_langid": op9_langid,
     "op10_topk": op10_topk,
 }
 
