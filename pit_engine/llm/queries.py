@@ -21,6 +21,13 @@ def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pit_engine.llm.simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.packing import pack_documents
 
@@ -132,6 +139,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_chat": op4_chat,
     "op6_warc": op6_warc,
