@@ -21,6 +21,18 @@ def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
 
+def _text(spans: str):
+    """kind:start:end of all spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pit_engine.llm.pii import KINDS, find_personal_data
+
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(_count("base", k) for k in KINDS), F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.simhash import near_duplicates
 
@@ -101,9 +113,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.secrets import scan_secrets
 
     found = scan_secrets(_table(spark, sf_dir, "documents"))
-    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [_count("base", k) for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +150,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_chat": op4_chat,
