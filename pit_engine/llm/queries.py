@@ -88,6 +88,14 @@ FROM g
 """
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pit_engine.llm.linededup import dedup_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = dedup_lines(docs)
+    return done.select("doc_id", F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"), "text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.warc import plan_records, read_archives, write_archives
 
@@ -117,6 +125,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pit_engine.llm.decontam import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.langid import held_out, identify, learn
 
@@ -154,8 +168,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_chat": op4_chat,
+    "op5_linededup": op5_linededup,
     "op6_warc": op6_warc,
     "op7_secrets": op7_secrets,
+    "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
     "op10_topk": op10_topk,
 }
