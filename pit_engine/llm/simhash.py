@@ -114,3 +114,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col:
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "least_id")
     labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return hashed.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each component: its smallest id (null last).
+
+    Of rows with that id and one text, one stays; with that id and several
+    texts of the component, the text with the least hash.
+    """
+    # A row is known by its id and its text; neither is null below.
+    keys = {"_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    rows = docs.withColumns(keys)
+    hashed = materialize(_fingerprints_keeping(rows, shingle_words, text_col), "fingerprints")
+    order = F.struct((F.col("_id") == -(2**63)).alias("n"), F.col("_id"), F.col("_th"))
+    nodes = materialize(hashed.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
+    roots = materialize(components(links(nodes)), "components")
+    named = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("first"))
+    alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("first")
+    stay = alone.unionByName(named.select("first")).select("first._id", "first._th")
+    return rows.join(stay, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+
+
+def _fingerprints_keeping(rows: DataFrame, shingle_words: int, text_col: str) -> DataFrame:
+    """_id, _th, fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(t.as_py(), shingle_words) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["_id", "_th", "fp"])
+
+    return rows.select("_id", "_th", F.col(text_col).alias("text")).mapInArrow(run, "_id bigint, _th bigint, fp bigint")
