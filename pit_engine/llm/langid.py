@@ -22,7 +22,6 @@ Defined cases
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 import zlib
@@ -65,11 +64,23 @@ def script_of(word: str) -> str:
     return next((s for s in SCRIPTS if name.startswith(s)), "OTHER")
 
 
+class _Grams(dict):
+    """Letter n-gram -> hashed feature."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        bucket = self[gram] = zlib.crc32(gram.encode("utf-8", "replace")) % BUCKETS
+        return bucket
+
+
+_grams = _Grams()
+
+
 def _buckets(word: str) -> list[int]:
-    """Hashed features of a lower-case word: itself and its letter n-grams of 1 to 3."""
-    framed = f"^{word}$"
-    grams = [f"w{framed}"] + [framed[i : i + n] for n in (2, 3) for i in range(len(framed) - n + 1)] + list(word)
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+    """Hashed features of a lower-case word: its letter n-grams of 3, ends marked."""
+    framed = f"^{word}$" if len(word) <= 64 else f"^{word[:32]}{word[-32:]}$"
+    return [_grams[framed[i : i + 3]] for i in range(len(framed) - 2)]
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,73 +124,110 @@ class Model:
         # A language uses a script if a ten-thousandth of its words are in it.
         letters = sum(self.scripts.values()) if self.scripts else docs
         self.allowed = {s: v > 1e-4 * letters for s, v in self.scripts.items()}
-        self._cache: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Evidence of a word for each language, relative to the best and bounded."""
-        got = self._cache.get(word)
-        if got is None:
-            if len(self._cache) > CACHE_WORDS:
-                self._cache.clear()
-            allowed = self.allowed.get(script_of(word))
-            if allowed is None or not allowed.any():
-                got = np.zeros(len(self.langs), np.float32)
-            else:
-                buckets = _buckets(word if len(word) <= 64 else word[:32] + word[-32:])
-                got = self.scores[:, buckets].sum(1) / math.sqrt(len(buckets))
-                got = np.where(allowed, got, -np.inf)
-                got = np.maximum(got - got.max(), -WORD_LIMIT).astype(np.float32)
-            self._cache[word] = got
-        return got
+        self._known: dict[str, int] = {}
+        self._table = np.zeros((0, len(self.langs)), np.float32)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Append the evidence of new words to the table."""
+        buckets = [_buckets(w) for w in words]
+        sizes = np.fromiter(map(len, buckets), np.int64, len(buckets))
+        flat = np.fromiter((b for x in buckets for b in x), np.int64, int(sizes.sum()))
+        got = np.add.reduceat(self.scores.T[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
+        scripts = [script_of(w) for w in words]
+        nothing = np.zeros(len(self.langs), bool)
+        allowed = np.array([self.allowed.get(x, nothing) for x in scripts])
+        got = np.where(allowed, got, -np.inf)
+        best = got.max(1, keepdims=True)
+        got = np.where(np.isfinite(best), np.maximum(got - np.where(np.isfinite(best), best, 0), -WORD_LIMIT), 0)
+        start = len(self._known)
+        self._known.update(zip(words, range(start, start + len(words)), strict=True))
+        self._table = np.concatenate([self._table, got.astype(np.float32)])
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Evidence of each word for each language, relative to its best and bounded."""
+        if len(self._known) > CACHE_WORDS:
+            self._known, self._table = {}, self._table[:0]
+        known = self._known
+        new = list({w for w in words if w not in known})
+        if new:
+            self._learn_words(new)
+        return self._table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def path(self, evidence: np.ndarray) -> np.ndarray:
         """The best language of each word: Viterbi with a constant cost of switching."""
-        total = evidence.sum(0)
-        best = int(total.argmax())
-        gain = (np.delete(evidence, best, 1).max(1) if evidence.shape[1] > 1 else evidence[:, 0]) - evidence[:, best]
-        run = np.concatenate([[0.0], np.cumsum(gain)])
+        best = int(evidence.sum(0).argmax())
+        n, k = evidence.shape
+        if k == 1:
+            return np.zeros(n, np.int64)
+        rest = evidence[:, [j for j in range(k) if j != best]]
+        run = np.concatenate([[0.0], np.cumsum(rest.max(1) - evidence[:, best], dtype=np.float64)])
         # No excursion from ``best`` gains more than the best sum of consecutive gains, and each costs a switch at least.
         if (run - np.minimum.accumulate(run)).max() <= SWITCH:
-            return np.full(len(evidence), best)
-        n, k = evidence.shape
-        came = np.empty((n, k), np.int8 if k < 128 else np.int16)
-        stay = np.arange(k)
-        score = evidence[0].astype(np.float64)
-        for t in range(1, n):
-            top = int(score.argmax())
-            switch = score[top] - SWITCH > score
-            came[t] = np.where(switch, top, stay)
-            score = np.where(switch, score[top] - SWITCH, score) + evidence[t]
+            return np.full(n, best)
+        came, score = [], [0.0] * k
+        for e in evidence.tolist():
+            top = max(score)
+            floor = top - SWITCH
+            at = score.index(top)
+            came.append([at if s < floor else j for j, s in enumerate(score)])
+            score = [(s if s >= floor else floor) + x for s, x in zip(score, e, strict=True)]
         out = np.empty(n, np.int64)
-        out[-1] = score.argmax()
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = came[t, out[t]]
+        now = score.index(max(score))
+        for t in range(n - 1, -1, -1):
+            out[t] = now
+            now = came[t][now]
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """(language, score, spans); spans are code points with the language of their words."""
-        if not text or not self.langs:
-            return UNKNOWN, 0.0, []
-        words = WORD.findall(text.lower() if len(text) == len(text.lower()) else text)
-        if not words:
-            return UNKNOWN, 0.0, []
-        known, word = self._cache, self.word
-        evidence = np.array([known[w] if w in known else word(w) for w in words])
-        if not evidence.any():
-            best = int(self.prior.argmax())
-            return self.langs[best], float(self.prior[best]), [(0, len(text), self.langs[best])]
-        path = self.path(evidence)
-        letters = np.fromiter(map(len, words), np.int64, len(words))
-        share = np.bincount(path, letters, len(self.langs))
-        best = int(share.argmax())
-        cuts = np.flatnonzero(np.diff(path)) + 1
-        if not len(cuts):
-            spans = [(0, len(text), self.langs[best])]
-        else:
-            starts = [m.start() for m in WORD.finditer(text.lower() if len(text) == len(text.lower()) else text)]
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, score, spans) for each text; spans are code points with the language of their words."""
+        words = [WORD.findall(_folded(t)) if t and self.langs else [] for t in texts]
+        evidence = self.evidence([w for x in words for w in x])
+        out, at = [], 0
+        for text, own in zip(texts, words, strict=True):
+            if not own:
+                out.append((UNKNOWN, 0.0, []))
+                continue
+            e = evidence[at : at + len(own)]
+            at += len(own)
+            if not e.any():
+                best = int(self.prior.argmax())
+                out.append((self.langs[best], float(self.prior[best]), [(0, len(text), self.langs[best])]))
+                continue
+            path = self.path(e)
+            cuts = np.flatnonzero(np.diff(path)) + 1
+            if not len(cuts):
+                out.append((self.langs[path[0]], 1.0, [(0, len(text), self.langs[path[0]])]))
+                continue
+            letters = np.fromiter(map(len, own), np.int64, len(own))
+            share = np.bincount(path, letters, len(self.langs))
+            best = int(share.argmax())
+            starts = [m.start() for m in WORD.finditer(_folded(text))]
             edges = [0, *(starts[c] for c in cuts), len(text)]
             spans = [(a, b, self.langs[path[c]]) for a, b, c in zip(edges, edges[1:], [0, *cuts], strict=False)]
-        return self.langs[best], float(share[best] / letters.sum()), spans
+            out.append((self.langs[best], float(share[best] / letters.sum()), spans))
+        return out
+
+
+def _folded(text: str) -> str:
+    """Lower case, but only where that keeps every position."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else text
+
+
+#: Characters of text that are worked on at once.
+BLOCK_CHARS = 4_000_000
+
+
+def _predictions(model: Model, texts: pa.Array) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
+    held, chars = [], 0
+    for value in texts:
+        text = value.as_py()
+        held.append(text)
+        chars += len(text or "")
+        if chars >= BLOCK_CHARS:
+            yield from model.predict(held)
+            held, chars = [], 0
+    yield from model.predict(held)
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
@@ -207,7 +255,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(1)]
+            found = list(_predictions(model, batch.column(1)))
             spans = [[{"start": s, "end": e, "lang": x} for s, e, x in f[2]] for f in found]
             columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "spans"])
@@ -227,7 +275,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = KEEP_SCORE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(t.as_py())[:2] for t in batch.column(at)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            keep = [lang != UNKNOWN and score >= least for lang, score, _ in _predictions(model, batch.column(at))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
