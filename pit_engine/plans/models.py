@@ -1 +1,135 @@
-"""To come."""
+"""Queries of grouped fits, replays and allocation: beyond SQL, held against closed forms in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pit_engine.operators import models as M
+from pit_engine.operators import statistics as S
+from pit_engine.plans import regimes as G
+from pit_engine.plans.features import daily
+from pit_engine.plans.inputs import scores, table
+from pit_engine.plans.registry import query
+from pit_engine.sources import charts
+
+
+@query()
+def ledoit_wolf_cov(spark, sf_dir):
+    return M.ledoit_wolf(table(spark, sf_dir, "embeddings").where("embedding is not null"), "label", "embedding")
+
+
+@query()
+def gaussian_quadrants(spark, sf_dir):
+    s = scores(spark, sf_dir).where("growth_score is not null and inflation_score is not null")
+    return s.select("month", M.quadrant_masses("growth_score", "inflation_score", F.lit(0.25), F.lit(0.05), F.lit(0.36)).alias("masses"))
+
+
+@query()
+def transition_intervals(spark, sf_dir):
+    from pyspark.sql import Window
+
+    m = G.matrix(spark, sf_dir)
+    a = F.col("n") + 0.5
+    b = F.sum("n").over(Window.partitionBy("cutoff", "source")) + 2.0 - a
+    m = m.withColumns({"_a": a.cast("double"), "_b": b.cast("double")})
+    return m.select("cutoff", "source", "destination", F.round(M.beta_quantile(F.lit(0.025), "_a", "_b"), 9).alias("lower"), F.round(M.beta_quantile(F.lit(0.975), "_a", "_b"), 9).alias("upper"))
+
+
+@query()
+def robust_var(spark, sf_dir):
+    return M.robust_var(G.var_input(spark, sf_dir), {"huber": 1.345, "student_t": 7.0})
+
+
+def emission_rows(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("series_id").orderBy("d")
+    y = d.withColumns({"y": F.ln("level"), "x": F.lag(F.ln("level")).over(w), "dow": F.weekday("d").cast("double")})
+    return y.withColumn("row_id", F.concat_ws("|", "series_id", F.col("d").cast("string")))
+
+
+@query()
+def emission_lambda(spark, sf_dir):
+    s = M.rolling_origin_scores(emission_rows(spark, sf_dir), ["series_id"], "d", "y", ["x", "dow"], [0.0, 0.1, 1.0, 10.0], 10)
+    return M.choose_lambda(s, ["series_id"])
+
+
+@query()
+def student_t_fit(spark, sf_dir):
+    return M.student_t_emission(emission_rows(spark, sf_dir), ["series_id"], "y", ["x", "dow"], 1.0, 7.0)
+
+
+PARAMETERS = {"start": 300, "b": [[0.6, 0.1], [0.0, 0.5]], "c": [0.0, 0.0], "q": [[0.3, 0.0], [0.0, 0.3]], "mean": [0.0, 0.0], "cov": [[1.0, 0.0], [0.0, 1.0]], "noise": [[0.5, 0.1], [0.1, 0.5]], "mapping": [[0.1, 0.0], [0.0, 0.1]]}
+
+
+def filter_events(spark, sf_dir):
+    """Early evidence on the 20th of the following month, the exact score a month later."""
+    s = scores(spark, sf_dir).where("growth_score is not null and inflation_score is not null")
+    month = M.months_since_1970(F.col("month")).cast("bigint")
+    ev = s.select(F.date_add(F.add_months("month", 1), 19).alias("date"), F.lit("evidence").alias("kind"), F.concat(F.lit("e"), F.col("month").cast("string")).alias("event_id"), month.alias("month"), (F.col("growth_score") * 0.9).alias("y1"), (F.col("inflation_score") * 0.9).alias("y2"))
+    ex = s.select(F.date_add(F.add_months("month", 2), 4).alias("date"), F.lit("exact").alias("kind"), F.concat(F.lit("x"), F.col("month").cast("string")).alias("event_id"), month.alias("month"), F.col("growth_score").alias("y1"), F.col("inflation_score").alias("y2"))
+    return ev.unionByName(ex)
+
+
+@query()
+def kalman_replay(spark, sf_dir):
+    return M.replay(filter_events(spark, sf_dir), {"gaussian": None, "student_t_7": 7.0, "transition_only": 0.0}, PARAMETERS)
+
+
+@query()
+def discrete_replay(spark, sf_dir):
+    """The discrete filter over the same months, with the quadrant as the confirmed regime a month later."""
+    import numpy as np
+    import pandas as pd
+
+    from pit_engine.operators.filters import discrete_filter
+
+    h = G.history(spark, sf_dir).where("regime_id is not null")
+    rows = h.select("month", M.months_since_1970(F.col("month")).alias("m"), (G.G.regime_ord(F.col("regime_id")) - 1).alias("r"), F.lit("base").alias("specification"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("m")
+        a = np.full((4, 4), 0.5)
+        for x, y in zip(pdf["r"], pdf["r"][1:], strict=False):
+            a[x, y] += 1
+        a /= a.sum(1, keepdims=True)
+        days = [(m, int(n) + 2, [], [(int(n), int(r))]) for m, n, r in zip(pdf["month"], pdf["m"], pdf["r"], strict=True)]
+        out = pd.DataFrame(discrete_filter(a, int(pdf["m"].iloc[0]) - 1, days))
+        out.insert(0, "specification", key[0])
+        return out
+
+    return rows.groupBy("specification").applyInPandas(run, "specification string, date date, phase string, month bigint, p0 double, p1 double, p2 double, p3 double")
+
+
+@query()
+def optimizer_weights(spark, sf_dir):
+    from pit_engine.operators.windows import complete_case_returns
+    from pit_engine.plans.inputs import TICKERS, prices
+
+    r = complete_case_returns(prices(spark, sf_dir), "ticker", "date", "close", len(TICKERS)).select(F.col("date").alias("period"), "ticker", "ret")
+    return M.allocate_sequentially(r, {"kappa_0": 0.0, "kappa_60": 60.0}, 10, 0.4, 0.001, 0.5)
+
+
+@query()
+def serial_tests(spark, sf_dir):
+    q = S.ljung_box(daily(spark, sf_dir), ["series_id"], "d", "level", 3)
+    return q.withColumn("p_value", M.chi2_tail("q_statistic", F.lit(3.0)))
+
+
+@query()
+def cross_correlation_tests(spark, sf_dir):
+    c = S.lagged_correlation(daily(spark, sf_dir), "series_id", "d", "level", [0, 1, 2], 10).withColumn("family", F.lit("all"))
+    c = c.withColumn("p_value", M.correlation_p("correlation", F.col("n").cast("double"))).withColumn("test", F.concat_ws("|", "a", "b", "lag"))
+    return S.benjamini_hochberg(c, ["family"], "p_value", "test").drop("family")
+
+
+@query("SELECT DISTINCT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY host")
+def page_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), lambda x: x) AS links FROM pages")
+def html_options(spark, sf_dir):
+    """Values of repeated attributes in HTML, by one pattern, as vintage lists are read."""
+    return table(spark, sf_dir, "pages").select("page_id", charts.attribute_values(F.col("html"), "a", "href").alias("links"))
