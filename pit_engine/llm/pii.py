@@ -70,6 +70,8 @@ REACH = 40
 LABELERS = 5
 ITERATIONS = 20
 SMOOTHING = 1.0
+#: Pseudo-count of votes for a class within it.
+AGREE = 3.0
 #: Buckets of shapes and of words before, and features of a kind: 3 for each labeler, then the buckets.
 BUCKETS = 64
 FEATURES = 3 * LABELERS + 2 * BUCKETS
@@ -186,14 +188,16 @@ def label_model(found: DataFrame) -> DataFrame:
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     ups = lambda v: F.size(F.filter(v, lambda x: x == 2)).cast("double")
     downs = lambda v: F.size(F.filter(v, lambda x: x == 0)).cast("double")
-    start = F.transform("p", lambda p: (ups(p["votes"]) + 0.5) / (ups(p["votes"]) + downs(p["votes"]) + 1.0))
+    # The start and the pseudo-counts say which class is which: votes for a class are likelier in it.
+    start = F.transform("p", lambda p: 1.0 / (1.0 + F.exp(-2.0 * (ups(p["votes"]) - downs(p["votes"])))))
 
     def odds(q: Column) -> Column:
         """Log-odds of each (labeler, vote), then of the class itself."""
         pairs = F.arrays_zip(F.col("p").alias("p"), q.alias("q"))
         mass = lambda side: total(F.transform(pairs, lambda z: z["p"]["n"] * (z["q"] if side else 1.0 - z["q"])))
         at = lambda i, side: total(F.transform(pairs, lambda z: F.when(F.get(z["p"]["votes"], F.floor(i / 3).cast("int")) == i % 3, z["p"]["n"] * (z["q"] if side else 1.0 - z["q"])).otherwise(0.0)))
-        rate = lambda i, side: (at(i, side) + SMOOTHING) / (mass(side) + 3 * SMOOTHING)
+        agrees = lambda i, side: F.when(i % 3 == (2 if side else 0), AGREE).when(i % 3 == 1, SMOOTHING).otherwise(SMOOTHING / AGREE)
+        rate = lambda i, side: (at(i, side) + agrees(i, side)) / (mass(side) + AGREE + SMOOTHING + SMOOTHING / AGREE)
         each = F.transform(F.sequence(F.lit(0), F.lit(3 * LABELERS - 1)), lambda i: F.ln(rate(i, True)) - F.ln(rate(i, False)))
         return F.concat(each, F.array(F.ln(mass(True) + SMOOTHING) - F.ln(mass(False) + SMOOTHING)))
 

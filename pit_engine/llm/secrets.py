@@ -39,7 +39,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Text on either side of a candidate that primes the compressor, and the candidate's part that is measured.
 AROUND = 2048
 #: Least marginal bits for each character, and least kinds of characters (lower, upper, digit).
-NOVEL_BITS, CLASSES = 4.0, 2
+NOVEL_BITS, CLASSES = 6.5, 2
 
 #: Identifiers that code and configuration use often; they prime the compressor.
 IDENTIFIERS = (
