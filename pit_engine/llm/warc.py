@@ -97,7 +97,7 @@ def _writer(folder: str, chunk: int, archive: int):
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     fs, inner = _open(folder)
                     fs.create_dir(inner, recursive=True)
-                    out, records, written = fs.open_output_stream(f"{inner}/{path.rsplit('/', 1)[1]}"), 0, 0
+                    out, records, written = fs.open_output_stream(f"{inner}/{path.rsplit('/', 1)[1]}", compression=None), 0, 0
                 member = zlib.compressobj(6, zlib.DEFLATED, 31)
                 head, http = _head(page_id, url, size, digest, refers_to)
                 put(member.compress(head))
@@ -193,7 +193,7 @@ def _reader(chunk: int, with_data: bool):
 
     def records(path: str) -> Iterator[tuple]:
         fs, inner = _open(path)
-        with fs.open_input_stream(inner) as raw:
+        with fs.open_input_stream(inner, compression=None) as raw:
             stream = _Stream(raw, chunk)
             while head := stream.until(b"\r\n\r\n"):
                 warc = _fields(head)
