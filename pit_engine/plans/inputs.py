@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """A small derived table that a query reads several times: computed once, by lineage again if lost.
+
+    Only for results bounded by the calendar (series x months x vintages), never for rows of data.
+    """
+    return df.persist()
+
+
 def cents(c: str):
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -30,7 +38,7 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trunc("o_orderdate", "month").alias("reference_date"),
         F.add_months(F.trunc("l_shipdate", "month"), 1).alias("vintage_date"),
     ).agg(F.sum(cents("l_extendedprice")).alias("value"))
-    return V.densify(inc).withColumn("value", F.col("value").cast("double") / 100)
+    return shared(V.densify(inc).withColumn("value", F.col("value").cast("double") / 100))
 
 
 ARCHIVE = """
@@ -73,7 +81,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice", F.trunc("o_orderdate", "month").alias("month"))
     both = o.select("month", "o_totalprice", F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("series_id"))
     sums = both.groupBy("series_id", "month").agg((F.sum(cents("o_totalprice")).cast("double") / 100).alias("value"))
-    return gapless(sums, ["series_id"], "month").join(sums, ["series_id", "month"], "left")
+    sums = shared(sums)
+    return shared(gapless(sums, ["series_id"], "month").join(sums, ["series_id", "month"], "left"))
 
 
 PANEL = """
@@ -96,7 +105,7 @@ def scores(spark: SparkSession, sf_dir: str, min_periods: int = 12) -> DataFrame
     names = {s: f"z{k + 1}" for k, s in enumerate(GROWTH + INFLATION)}
     wide = z.groupBy("month").pivot("series_id", list(names)).agg(F.first("z")).withColumnsRenamed(names)
     out = composite(composite(wide, ["z1", "z2", "z3", "z4"], "growth_score"), ["z5", "z6", "z7", "z8"], "inflation_score")
-    return out.withColumn("available_at", F.date_add(F.add_months("month", 1), 14))
+    return shared(out.withColumn("available_at", F.date_add(F.add_months("month", 1), 14)))
 
 
 SCORES = PANEL + """,
@@ -120,7 +129,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), F.hour("ts").alias("h"), F.col("event_type").alias("ticker"), cents("value").alias("c"))
     day = e.groupBy("date", "ticker").agg(
         F.sum(F.when(F.col("h") < 12, F.col("c"))).alias("so"), F.count(F.when(F.col("h") < 12, 1)).alias("no"), F.sum("c").alias("sc"), F.count("*").alias("nc"))
-    return day.select("date", "ticker", (F.col("so").cast("double") / F.nullif(F.col("no"), F.lit(0)) / 100).alias("open"), (F.col("sc").cast("double") / F.col("nc") / 100).alias("close"))
+    return shared(day.select("date", "ticker", (F.col("so").cast("double") / F.nullif(F.col("no"), F.lit(0)) / 100).alias("open"), (F.col("sc").cast("double") / F.col("nc") / 100).alias("close")))
 
 
 PRICES = """

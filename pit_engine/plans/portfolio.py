@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pit_engine.operators import backtest as B
 from pit_engine.operators.windows import complete_case_returns, max_drawdown
-from pit_engine.plans.inputs import PRICES, TICKERS, prices
+from pit_engine.plans.inputs import PRICES, TICKERS, prices, shared
 from pit_engine.plans.registry import query
 
 N = len(TICKERS)
@@ -35,7 +35,7 @@ _WEEK, _NEXT = F.trunc("date", "week"), F.date_add("period", 7)
 
 
 def holding(spark, sf_dir):
-    return B.holding_returns(prices(spark, sf_dir), N, _WEEK, _NEXT)
+    return shared(B.holding_returns(prices(spark, sf_dir), N, _WEEK, _NEXT))
 
 
 def targets(spark, sf_dir):
@@ -46,7 +46,7 @@ def targets(spark, sf_dir):
 
 
 def simulation(spark, sf_dir):
-    return B.simulate(targets(spark, sf_dir), holding(spark, sf_dir), 0.001)
+    return shared(B.simulate(targets(spark, sf_dir), holding(spark, sf_dir), 0.001))
 
 
 def nav(spark, sf_dir):
