@@ -10,28 +10,29 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pit_engine.functions import numerics as N
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def quadrant_masses(g: pd.Series, i: pd.Series, vg: pd.Series, cgi: pd.Series, vi: pd.Series) -> pd.Series:
     """Masses of the four quadrants (UU, DU, UD, DD) of a bivariate normal."""
     rows = zip(g, i, vg, cgi, vi, strict=True)
     return pd.Series([N.quadrant_masses(np.array([a, b]), np.array([[c, d], [d, e]])) for a, b, c, d, e in rows])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def beta_quantile(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([N.beta_ppf(*x) for x in zip(p, a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([N.chi2_sf(*v) for v in zip(x, dof, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation."""
     t = r * np.sqrt((n - 2) / (1 - r * r).clip(lower=1e-300))

@@ -117,9 +117,9 @@ def evaluation_summary(df: DataFrame, by: list[str], error: str, score: str) ->
 
 
 def paired_comparison(df: DataFrame, keys: list[str], variant: str, baseline: str, value: str) -> DataFrame:
-    """Mean difference of each variant to the baseline on shared keys, and the share of wins (smaller is better)."""
+    """Mean difference of each variant to the baseline on keys where both have a value, and the share of wins (smaller is better)."""
     b = df.where(F.col(variant) == baseline).select(*keys, F.col(value).alias("_b"))
-    both = df.where(F.col(variant) != baseline).join(b, keys)
+    both = df.where(F.col(variant) != baseline).join(b, keys).where(F.col(value).isNotNull() & F.col("_b").isNotNull())
     return both.groupBy(variant).agg(F.count("*").alias("n"), F.avg(F.col(value) - F.col("_b")).alias("mean_difference"), F.avg((F.col(value) < F.col("_b")).cast("double")).alias("win_share"))
 
 

@@ -31,11 +31,15 @@ nav AS (SELECT method, start_date AS date, 0 AS phase_order, 'pre_trade_open' AS
   UNION ALL SELECT method, end_date, 0, 'terminal_open', period, nav FROM s1 WHERE nxt IS NULL
   UNION ALL SELECT s1.method, c.date, 2, 'close', s1.period, any_value(after) * sum(t.target_weight * c.close / o.open) FROM s1 JOIN targets t ON t.method = s1.method AND t.period = s1.period
     JOIN prices c ON c.ticker = t.ticker AND c.date >= s1.start_date AND c.date < s1.end_date JOIN prices o ON o.ticker = t.ticker AND o.date = s1.start_date GROUP BY s1.method, c.date, s1.period)"""
-_WEEK, _NEXT = F.trunc("date", "week"), F.date_add("period", 7)
+
+
+def _weeks():
+    """The period of a date, and the period after one."""
+    return F.trunc("date", "week"), F.date_add("period", 7)
 
 
 def holding(spark, sf_dir):
-    return shared(B.holding_returns(prices(spark, sf_dir), N, _WEEK, _NEXT))
+    return shared(B.holding_returns(prices(spark, sf_dir), N, *_weeks()))
 
 
 def targets(spark, sf_dir):
@@ -59,7 +63,7 @@ def _r6(df, *cols):
 
 @query(f"WITH {_SCHEDULE} SELECT * FROM schedule")
 def execution_schedule(spark, sf_dir):
-    return B.execution_schedule(prices(spark, sf_dir), N, _WEEK, _NEXT)
+    return B.execution_schedule(prices(spark, sf_dir), N, *_weeks())
 
 
 @query(f"WITH {_SCHEDULE} SELECT period, ticker, start_date, end_date, trading_sessions, round(ret, 6) AS ret FROM holding")
@@ -174,6 +178,6 @@ def feasibility_audit(spark, sf_dir):
 v AS (SELECT t.*, target_weight * (SELECT arg_max(close, date) FROM prices p WHERE p.ticker = t.ticker AND p.date < signal_date) / o.open AS v FROM t JOIN prices o ON o.ticker = t.ticker AND o.date = entry_date)
 SELECT method, period, ticker, round(v / sum(v) OVER (PARTITION BY method, signal_date), 6) AS pretrade_weight FROM v""")
 def pretrade_weights(spark, sf_dir):
-    s = B.execution_schedule(prices(spark, sf_dir), N, _WEEK, _NEXT)
+    s = B.execution_schedule(prices(spark, sf_dir), N, *_weeks())
     t = targets(spark, sf_dir).join(s.select("period", F.col("start_date").alias("entry_date"), F.col("end_date").alias("signal_date")), "period")
     return _r6(B.pretrade_weights(t, prices(spark, sf_dir)), "pretrade_weight").select("method", "period", "ticker", "pretrade_weight")

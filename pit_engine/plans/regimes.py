@@ -148,10 +148,11 @@ def causal_var_history(spark, sf_dir):
     from pyspark.sql import Window
 
     past = Window.partitionBy("k").orderBy("nm").rowsBetween(Window.unboundedPreceding, 0)
-    p = var_input(spark, sf_dir).withColumns({"nm": F.add_months("month", 1), "k": F.lit(1)})
-    run = p.withColumns({"n": F.count("x1").over(past), "c": F.covar_samp("y1", "x1").over(past), "v": F.var_samp("x1").over(past)})
+    p = var_input(spark, sf_dir).withColumn("nm", F.add_months("month", 1)).drop("month")
+    t = scores(spark, sf_dir).where("growth_score is not null and inflation_score is not null").select(F.col("month").alias("nm"), F.lit(1).alias("k"))
+    run = t.join(p, "nm", "left").withColumns({"n": F.count("x1").over(past), "c": F.covar_samp("y1", "x1").over(past), "v": F.var_samp("x1").over(past)})
     status = F.when(F.col("n") < 24, "insufficient_pairs").otherwise("available")
-    return run.select(F.col("nm").alias("month"), "n", status.alias("status"), F.round(F.when(F.col("n") >= 24, F.col("c") / F.col("v")), 6).alias("growth_persistence"))
+    return run.where("n > 0").select(F.col("nm").alias("month"), "n", status.alias("status"), F.round(F.when(F.col("n") >= 24, F.col("c") / F.col("v")), 6).alias("growth_persistence"))
 
 
 @query(f"""WITH {SCORES}, s AS (SELECT month, list_var_samp([z1, z2, z3, z4]) / 4 AS gv, list_var_samp([z5, z6, z7, z8]) / 4 AS iv, available_at FROM scores WHERE growth_score IS NOT NULL AND inflation_score IS NOT NULL),

@@ -160,7 +160,7 @@ def evaluation_summary(spark, sf_dir):
     return out.withColumn("bias", F.col("bias") + 0)
 
 
-@query(f"WITH {_EVAL} SELECT v.series_id, count(*) AS n, round(avg(abs(v.error) - abs(b.error)), 6) AS mean_difference, round(avg(CASE WHEN abs(v.error) < abs(b.error) THEN 1.0::DOUBLE ELSE 0 END), 6) AS win_share FROM e v JOIN e b ON b.series_id = 'F' AND b.month = v.month WHERE v.series_id <> 'F' GROUP BY v.series_id")
+@query(f"WITH {_EVAL} SELECT v.series_id, count(*) AS n, round(avg(abs(v.error) - abs(b.error)), 6) AS mean_difference, round(avg(CASE WHEN abs(v.error) < abs(b.error) THEN 1.0::DOUBLE ELSE 0 END), 6) AS win_share FROM e v JOIN e b ON b.series_id = 'F' AND b.month = v.month WHERE v.series_id <> 'F' AND v.error IS NOT NULL AND b.error IS NOT NULL GROUP BY v.series_id")
 def paired_comparison(spark, sf_dir):
     e = errors(spark, sf_dir).withColumn("a", F.abs("error"))
     return _r6(S.paired_comparison(e, ["month"], "series_id", "F", "a"), "mean_difference", "win_share")
