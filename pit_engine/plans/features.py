@@ -118,3 +118,25 @@ def binary_control_events(spark, sf_dir):
     d = table(spark, sf_dir, "events").select(F.to_date("ts").alias("reference_date")).distinct()
     flag = F.when(F.weekday("reference_date") >= 5, 1.0).otherwise(0.0)
     return d.select("reference_date", F.lit("weekend").alias("feature_name"), flag.alias("feature_value"), F.lit("available").alias("status"))
+
+
+_SIDES = f"""{ARCHIVE}, n AS (SELECT * FROM features WHERE series_id = 'R'), d AS (SELECT * FROM features WHERE series_id = 'A'),
+both_ AS (SELECT n.reference_date, n.release_date, n.current_value AS n1, n.previous_value AS n0, d.current_value AS d1, d.previous_value AS d0 FROM n JOIN d ON n.reference_date = d.reference_date AND n.release_date = d.release_date)"""
+
+
+@query(f"""WITH {_SIDES}, r AS (SELECT reference_date, release_date, 100 * (ln(n1 / d1) - ln(n0 / d0)) AS v FROM both_ WHERE n1 > 0 AND n0 > 0 AND d1 > 0 AND d0 > 0),
+m AS (SELECT *, count(v) OVER w AS n, avg(v) OVER w AS a, stddev_samp(v) OVER w AS s FROM r WINDOW w AS (ORDER BY release_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT reference_date, release_date, round(v, 6) AS transformed_value, n AS prior_n, round(CASE WHEN n >= 12 AND s > 0 THEN (v - a) / s END, 6) AS z FROM m""")
+def paired_ratio_events(spark, sf_dir):
+    from pit_engine.operators.evidence import paired_ratio_events as paired
+
+    e = paired(V.first_release_features(archive(spark, sf_dir)), "R", "A", "R/A", 12)
+    return e.select("reference_date", "release_date", F.round("transformed_value", 6).alias("transformed_value"), "prior_n", F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {_SIDES.replace("'R'", "'N'")} SELECT reference_date, release_date, round(n1 - d1, 2) AS current_value, round(n0 - d0, 2) AS previous_value, round(100 * (ln(n1 - d1) - ln(n0 - d0)), 6) AS transformed_value FROM both_ WHERE n1 - d1 > 0 AND n0 - d0 > 0""")
+def disjoint_component(spark, sf_dir):
+    from pit_engine.operators.evidence import disjoint_component as disjoint
+
+    e = disjoint(V.first_release_features(archive(spark, sf_dir)), "N", "A", "N-A")
+    return e.select("reference_date", "release_date", F.round("current_value", 2).alias("current_value"), F.round("previous_value", 2).alias("previous_value"), F.round("transformed_value", 6).alias("transformed_value"))

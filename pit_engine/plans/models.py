@@ -133,3 +133,11 @@ def page_hosts(spark, sf_dir):
 def html_options(spark, sf_dir):
     """Values of repeated attributes in HTML, by one pattern, as vintage lists are read."""
     return table(spark, sf_dir, "pages").select("page_id", charts.attribute_values(F.col("html"), "a", "href").alias("links"))
+
+
+@query()
+def canonical_events(spark, sf_dir):
+    from pit_engine.plans.inputs import archive
+    from pit_engine.plans.stages import build_evidence
+
+    return build_evidence(archive(spark, sf_dir), "shipments", "log_change", 12)["events"]
