@@ -113,6 +113,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col:
     named = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "least_id")
     labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # Written, so that both sides of the last join are dealt for it alone and a frequent fingerprint can be split.
+    labels = materialize(labels, "labels")
     return hashed.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
