@@ -41,19 +41,35 @@ BLOCK = 1 << 15
 SHINGLE_WORDS = 5
 
 
-def fingerprint(text: str | None, shingle_words: int) -> int:
-    """The SimHash of a text: words lower-cased in A-Z, XXH64 of space-joined shingles."""
+def _remixed(hashes: np.ndarray, view: int) -> np.ndarray:
+    """Hashes of another view: independent bits from the same hashes, by multiplication and shifts."""
+    if view == 0:
+        return hashes
+    x = (hashes ^ np.uint64(view)) * np.uint64(0x9E3779B97F4A7C15 + 2 * view)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint_views(text: str | None, shingle_words: int, views: int) -> list[int]:
+    """SimHashes of a text: words lower-cased in A-Z, XXH64 of space-joined shingles, remixed for each further view."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * views
     n = max(1, len(words) - shingle_words + 1)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((views, 64), np.int64)
     for at in range(0, n, BLOCK):
         hashes = np.array([xxh64_intdigest(b" ".join(words[i : i + shingle_words]), SEED) for i in range(at, min(n, at + BLOCK))], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
+        for v in range(views):
+            ones[v] += np.unpackbits(_remixed(hashes, v).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
+
+
+def fingerprint(text: str | None, shingle_words: int) -> int:
+    """The SimHash of a text."""
+    return fingerprint_views(text, shingle_words, 1)[0]
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,31 +134,48 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col:
     return hashed.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Independent fingerprints of the pipeline's stage; a link in any of them counts.
+VIEWS = 4
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", views: int = VIEWS) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each component: its smallest id (null last).
 
-    Of rows with that id and one text, one stays; with that id and several
-    texts of the component, the text with the least hash.
+    Texts are linked if any of ``views`` independent fingerprints links them:
+    one fingerprint at 3 bits misses most copies with a few edits, several
+    find more of them without a looser bound. Of rows with the smallest id and
+    one text, one stays; with that id and several texts of the component, the
+    text with the least hash.
     """
     # A row is known by its id and its text; neither is null below.
     keys = {"_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
     rows = docs.withColumns(keys)
-    hashed = materialize(_fingerprints_keeping(rows, shingle_words, text_col), "fingerprints")
+    hashed = materialize(_views_of(rows, shingle_words, text_col, views), "fingerprints")
     order = F.struct((F.col("_id") == -(2**63)).alias("n"), F.col("_id"), F.col("_th"))
-    nodes = materialize(hashed.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
-    roots = materialize(components(links(nodes)), "components")
-    named = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("first"))
-    alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("first")
+    nodes = materialize(hashed.groupBy("fp0").agg(F.min(order).alias("first")), "nodes")
+    edges = links(nodes.select(F.col("fp0").alias("fp")))
+    for v in range(1, views):
+        fp = f"fp{v}"
+        # A further view's fingerprint stands for the least first fingerprint among its texts.
+        named = materialize(hashed.groupBy(fp).agg(F.min("fp0").alias("least"), F.max("fp0").alias("most")), fp)
+        shared = named.where("least <> most").select(fp, F.col("least").alias("a"))
+        edges = edges.unionByName(hashed.select(fp, F.col("fp0").alias("b")).join(shared, fp).select("a", "b").where("a <> b").distinct())
+        one, two = (named.select(F.col(fp).alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+        edges = edges.unionByName(links(named.select(F.col(fp).alias("fp"))).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = materialize(components(edges), "components")
+    named = roots.join(nodes, roots["node"] == nodes["fp0"]).groupBy("root").agg(F.min("first").alias("first"))
+    alone = nodes.join(roots, nodes["fp0"] == roots["node"], "left_anti").select("first")
     stay = alone.unionByName(named.select("first")).select("first._id", "first._th")
     return rows.join(stay, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
 
 
-def _fingerprints_keeping(rows: DataFrame, shingle_words: int, text_col: str) -> DataFrame:
-    """_id, _th, fp."""
+def _views_of(rows: DataFrame, shingle_words: int, text_col: str, views: int) -> DataFrame:
+    """_id, _th, fp0, fp1, ..."""
+    names = [f"fp{v}" for v in range(views)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle_words) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["_id", "_th", "fp"])
+            found = np.array([fingerprint_views(t.as_py(), shingle_words, views) for t in batch.column(2)], np.int64).reshape(-1, views)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(found[:, v])) for v in range(views))], ["_id", "_th", *names])
 
-    return rows.select("_id", "_th", F.col(text_col).alias("text")).mapInArrow(run, "_id bigint, _th bigint, fp bigint")
+    return rows.select("_id", "_th", F.col(text_col).alias("text")).mapInArrow(run, "_id bigint, _th bigint, " + ", ".join(f"{n} bigint" for n in names))
