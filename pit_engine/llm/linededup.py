@@ -16,6 +16,8 @@ deleted. The earliest copy of a line is never deleted.
 Defined cases
   null text                kept as null; no lines
   empty text, blank lines  a blank line has no words; it is deleted only inside a run
+  many blank lines         a stretch of over ``MOST_LINES`` - ``min_words`` of them
+                           inside a run parts it in two, each judged by its words
   lines                    end at a line feed; blanks, tabs and carriage returns at
                            either end don't count for equality
   very long texts          whole; the work per fingerprint is bounded by a window
