@@ -154,9 +154,10 @@ class Searcher:
             later.append((keys, np.array([level[int(k)] for k in keys], np.int64)))
         return first, later, ends
 
-    def candidates(self, a: np.ndarray, n: int) -> set[tuple[int, int]]:
-        """(window start, item) estimates for windows that start at the first n words of a (padded) block."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, a: np.ndarray, edges: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, estimated start, item) for windows that start at any word of a (padded) block of texts."""
+        found: set[tuple[int, int, int]] = set()
+        n = int(edges[-1])
         every = np.arange(n, dtype=np.int32)
         for advance, steps, first, later, ends in self.walks:
             start = cur = every
@@ -186,9 +187,11 @@ class Searcher:
                         break
                 cur = cur + advance[j][symbol]
             if len(start) and depth == len(steps):
-                for s, x in zip(start.tolist(), node.tolist(), strict=True):
+                # The text is where the window starts; the item's estimated start may lie before the text.
+                texts = np.searchsorted(edges, start, "right") - 1
+                for t, s, x in zip(texts.tolist(), start.tolist(), node.tolist(), strict=True):
                     for i, at in ends[x]:
-                        found.add((s - at, i))
+                        found.add((t, s - at, i))
         return found
 
     def search(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
@@ -206,25 +209,23 @@ class Searcher:
             edges = np.concatenate([[0], np.cumsum(lengths)])
             a = np.concatenate([*block, np.zeros(STEPS, np.int32)])
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            done: set[tuple[int, int, int]] = set()
-            for s, i in sorted(self.candidates(a, int(edges[-1]))):
+            done: set[tuple[int, int, int, int]] = set()
+            for t, s, i in sorted(self.candidates(a, edges)):
                 pattern = self.items[i]
                 most = int(self.max_edits * len(pattern))
-                # The window start lies in the text; the item may start up to ``most`` words before or after.
-                anchor = int(np.searchsorted(edges, max(s, 0) + min(len(pattern) // 2, 4), "right")) - 1
-                for t in {max(0, min(anchor, len(block) - 1)), max(0, int(np.searchsorted(edges, max(s, 0), "right")) - 1)}:
-                    lo, hi = max(s - most, int(edges[t])), min(s + len(pattern) + most, int(edges[t + 1]))
-                    if hi - lo < len(pattern) - most or (t, i, lo) in done:
-                        continue
-                    done.add((t, i, lo))
-                    region = a[lo:hi]
-                    # Each word of the item that the region lacks is an edit of its own.
-                    has = set(region.tolist())
-                    if sum(x in has for x in pattern) < len(pattern) - most:
-                        continue
-                    hit = edit_search(pattern, region, most)
-                    if hit and (t, i) not in best or hit and hit[0] < best[t, i][0]:
-                        best[t, i] = (hit[0], hit[1] + lo - int(edges[t]), hit[2] + lo - int(edges[t]))
+                # The item may start up to ``most`` words before or after its estimate.
+                lo, hi = max(s - most, int(edges[t])), min(s + len(pattern) + most, int(edges[t + 1]))
+                if hi - lo < len(pattern) - most or (t, i, lo, hi) in done:
+                    continue
+                done.add((t, i, lo, hi))
+                region = a[lo:hi]
+                # Each word of the item that the region lacks is an edit of its own.
+                has = set(region.tolist())
+                if sum(x in has for x in pattern) < len(pattern) - most:
+                    continue
+                hit = edit_search(pattern, region, most)
+                if hit and ((t, i) not in best or hit[0] < best[t, i][0]):
+                    best[t, i] = (hit[0], hit[1] + lo - int(edges[t]), hit[2] + lo - int(edges[t]))
             out.extend((numbers[t], i, *hit) for (t, i), hit in best.items())
             block.clear()
             numbers.clear()

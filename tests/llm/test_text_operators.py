@@ -303,6 +303,15 @@ def test_planted_items_are_found_and_clean_texts_are_not(spark):
     assert find_leaks(d, bench.limit(0)).count() == 0 and find_leaks(d.limit(0), bench).count() == 0
 
 
+def test_an_item_without_its_first_words_is_found_at_the_start_of_any_text():
+    from pit_engine.llm.decontam import Searcher
+
+    item = [f"w{i}" for i in range(40)]
+    part = [w.encode() for w in item[7:]]
+    hits = Searcher([(1, " ".join(item))]).search([[b"other"] * 50, part, [b"more"] * 30, part])
+    assert [(k, distance, start, end) for k, _, distance, start, end in sorted(hits)] == [(1, 7, 0, 33), (3, 7, 0, 33)]
+
+
 # ------------------------------------------------------------------ languages
 
 
