@@ -7,8 +7,12 @@ steps; a window of a text is a candidate for an item if it reads the item's
 symbols at all of them. The symbols of all items form a trie, and the walk goes
 on only for the windows that are still on a path of it. Every word of a text
 starts a window, and every few words of an item start an entry, so an edited
-beginning doesn't hide an item. Candidates are verified by the exact edit
-distance over words (free ends in the text).
+beginning doesn't hide an item. Walks are random and lose some copies, most of
+short items, so a second search completes them: an item with at most e edits is
+cut into e + 1 pieces, one of which stands unchanged in every copy within the
+bound. Whoever reads a piece is a candidate too, so no item is missed at any
+length. Candidates are verified by the exact edit distance over words (free
+ends in the text).
 
 The benchmark is dealt into blocks of bounded size; a block is what a task
 holds, so neither the driver nor a broadcast grows with the documents.
@@ -28,8 +32,8 @@ Defined cases
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +101,17 @@ def edit_search(pattern: list[int], text: np.ndarray, most: int) -> tuple[int, i
     return found, end - length, end
 
 
+def _joined(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """One 64-bit key for the words of each row (candidates are verified, so equal keys of other words do no harm)."""
+    key = np.uint64(0)
+    for x in columns:
+        key = (key ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
 class Searcher:
-    """Items, their vocabulary and the tries of all repetitions."""
+    """Items, their vocabulary, the tries of all repetitions and the pieces."""
 
     def __init__(self, items: list[tuple[int, str | None]], max_edits: float = MAX_EDITS, repetitions: int = REPETITIONS, seed: int = SEED):
         self.max_edits = max_edits
@@ -124,6 +137,49 @@ class Searcher:
             rest = rng.choice(np.arange(second + 1, STEPS), SAMPLES - 2, replace=False)
             steps = sorted({first, second, *map(int, rest)})
             self.walks.append((advance, steps, *self._trie(entries, advance, steps)))
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length of piece: sorted keys, and the item and the place in it of each."""
+        cut: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, words in enumerate(self.items):
+            parts = int(self.max_edits * len(words)) + 1
+            bounds = [len(words) * k // parts for k in range(parts + 1)]
+            for at, end in pairwise(bounds):
+                cut[end - at].append((i, at))
+        out = {}
+        for length, places in cut.items():
+            words = np.array([self.items[i][at : at + length] for i, at in places], np.int32)
+            keys = _joined(words[:, k] for k in range(length))
+            order = np.argsort(keys, kind="stable")
+            item, at = np.array(places, np.int64).T
+            out[length] = keys[order], item[order], at[order]
+        return out
+
+    def piece_candidates(self, a: np.ndarray, edges: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, estimated start, item) wherever a text reads a piece of an item."""
+        found: set[tuple[int, int, int]] = set()
+        known = a[: int(edges[-1])] != 0
+        for length, (keys, item, at) in self.pieces.items():
+            n = len(known) - length + 1
+            if n < 1:
+                continue
+            whole = known[:n].copy()
+            for k in range(1, length):
+                whole &= known[k : k + n]
+            start = np.flatnonzero(whole)
+            key = _joined(a[start + k] for k in range(length))
+            lo = np.searchsorted(keys, key)
+            on = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
+            start, lo, hi = start[on], lo[on], np.searchsorted(keys, key[on], "right")
+            text = np.searchsorted(edges, start, "right") - 1
+            inside = start + length <= edges[text + 1]
+            start, text, lo, count = start[inside], text[inside], lo[inside], (hi - lo)[inside]
+            # Each place with each of the equal pieces.
+            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            which = np.repeat(lo, count) + nth
+            found.update(zip(np.repeat(text, count).tolist(), (np.repeat(start, count) - at[which]).tolist(), item[which].tolist(), strict=True))
+        return found
 
     def _trie(self, entries, advance: np.ndarray, steps: list[int]):
         """(first level by symbol, sorted keys and nodes of the later levels, entries by last node)."""
@@ -210,7 +266,7 @@ class Searcher:
             a = np.concatenate([*block, np.zeros(STEPS, np.int32)])
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             done: set[tuple[int, int, int, int]] = set()
-            for t, s, i in sorted(self.candidates(a, edges)):
+            for t, s, i in sorted(self.candidates(a, edges) | self.piece_candidates(a, edges)):
                 pattern = self.items[i]
                 most = int(self.max_edits * len(pattern))
                 # The item may start up to ``most`` words before or after its estimate.

@@ -312,6 +312,26 @@ def test_an_item_without_its_first_words_is_found_at_the_start_of_any_text():
     assert [(k, distance, start, end) for k, _, distance, start, end in sorted(hits)] == [(1, 7, 0, 33), (3, 7, 0, 33)]
 
 
+def test_items_of_every_length_are_found_at_the_full_edit_bound():
+    import random
+
+    from pit_engine.llm.decontam import MAX_EDITS, Searcher
+
+    rng = random.Random(2)
+    word = lambda: b"w%d" % rng.randrange(5000)
+    for n in [*range(8, 26), 40, 60]:
+        items, texts = [[word() for _ in range(n)] for _ in range(20)], []
+        for item in items:
+            copy = list(item)
+            for at in rng.sample(range(n), int(MAX_EDITS * n)):
+                copy[at] = rng.choice([[b"other"], [], [copy[at], b"more"]])
+            copy = [w for x in copy for w in (x if isinstance(x, list) else [x])]
+            texts.append([word() for _ in range(30)] + copy + [word() for _ in range(30)])
+        searcher = Searcher([(i, b" ".join(x).decode()) for i, x in enumerate(items)])
+        hits = {(k, searcher.ids[i]) for k, i, *_ in searcher.search(texts)}
+        assert hits >= {(i, i) for i in range(20)}, n
+
+
 # ------------------------------------------------------------------ languages
 
 
