@@ -18,10 +18,12 @@ The benchmark is dealt into blocks of bounded size; a block is what a task
 holds, so neither the driver nor a broadcast grows with the documents.
 
 Defined cases
-  words                     lower-cased, split at white space and ASCII punctuation
+  words                     lower-cased, split at white space, ASCII and typographic punctuation;
+                            in scripts without spaces each character is a word
   null or empty text        no words, no hits
   very long texts           whole; windows are walked in blocks
-  items under ``MIN_ITEM_WORDS`` words, null items   no evidence: not searched for
+  items under ``MIN_ITEM_WORDS`` words   searched for without edits
+  items without words, null items        not searched for
   equal items               each has its hits
   equal distances           the first place in the text
   repeated rows, null ids   each row has its own hits
@@ -31,6 +33,7 @@ Defined cases
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import pairwise, repeat
@@ -42,6 +45,7 @@ from pyspark.sql import functions as F
 
 #: Edits over words that still are a leak, as a share of the item's words: a similarity of 0.8.
 MAX_EDITS = 0.2
+#: Shorter items allow no edits: one edit would make another sentence of them.
 MIN_ITEM_WORDS = 8
 #: LSH: steps of the walk that are sampled from, sampled steps, repetitions, words between entries of an item.
 STEPS, SAMPLES, REPETITIONS, STRIDE = 20, 7, 7, 8
@@ -51,14 +55,23 @@ BLOCK_WORDS = 1 << 19
 BLOCK_CHARS = 32 * 1024 * 1024
 SEED = 20240229
 
+#: A character of a script without spaces (Thai, Lao, Burmese, Khmer, Chinese, Japanese), or white space and punctuation beyond ASCII.
+_WIDE = re.compile(
+    "([\u0e01-\u0e5b\u0e81-\u0edf\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u302f\u3031-\u303c\u3041-\u309f\u30a1-\u30fa\u30fc-\u312f"
+    "\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])"
+    "|[\u0085\u00a0\u00a1\u00ab\u00b7\u00bb\u00bf\u2000-\u200a\u2010-\u2029\u202f-\u205f\u3000-\u3004\u3008-\u3020\u3030\u303d-\u303f\u30a0\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]"
+)
 _TO_SPACE = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
 HITS = "doc_id bigint, item_id bigint, distance int, start_word int, end_word int"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words between white space and ASCII punctuation, as UTF-8."""
-    return (text or "").lower().encode("utf-8", "replace").translate(_TO_SPACE).split()
+    """Lower-cased words between white space and punctuation, or characters of scripts without spaces, as UTF-8."""
+    text = text or ""
+    if not text.isascii():
+        text = _WIDE.sub(r" \1 ", text)
+    return text.lower().encode("utf-8", "replace").translate(_TO_SPACE).split()
 
 
 def edit_search(pattern: list[int], text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -120,7 +133,7 @@ class Searcher:
         self.items: list[list[int]] = []
         for item_id, text in items:
             words = words_of(text)
-            if len(words) >= MIN_ITEM_WORDS:
+            if words:
                 self.ids.append(item_id)
                 # 0 is any word that no item has.
                 self.items.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
@@ -128,7 +141,9 @@ class Searcher:
         size = len(self.vocabulary) + 1
         self.size = size
         self.walks = []
-        entries = [(i, at) for i, words in enumerate(self.items) for at in range(0, max(1, len(words) - STEPS // 2), STRIDE)]
+        #: Words that a text needs to hold any item.
+        self.least = min((len(words) - self.most(i) for i, words in enumerate(self.items)), default=0)
+        entries = [(i, at) for i, words in enumerate(self.items) if len(words) >= MIN_ITEM_WORDS for at in range(0, max(1, len(words) - STEPS // 2), STRIDE)]
         for r in range(repetitions):
             advance = rng.integers(0, 2, (STEPS, size), dtype=np.int8)
             # The first two samples lie close together near the start, so that most windows leave the trie early.
@@ -139,11 +154,16 @@ class Searcher:
             self.walks.append((advance, steps, *self._trie(entries, advance, steps)))
         self.pieces = self._pieces()
 
+    def most(self, i: int) -> int:
+        """Edits that item number i may have."""
+        n = len(self.items[i])
+        return int(self.max_edits * n) if n >= MIN_ITEM_WORDS else 0
+
     def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By length of piece: sorted keys, and the item and the place in it of each."""
         cut: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, words in enumerate(self.items):
-            parts = int(self.max_edits * len(words)) + 1
+            parts = self.most(i) + 1
             bounds = [len(words) * k // parts for k in range(parts + 1)]
             for at, end in pairwise(bounds):
                 cut[end - at].append((i, at))
@@ -268,7 +288,7 @@ class Searcher:
             done: set[tuple[int, int, int, int]] = set()
             for t, s, i in sorted(self.candidates(a, edges) | self.piece_candidates(a, edges)):
                 pattern = self.items[i]
-                most = int(self.max_edits * len(pattern))
+                most = self.most(i)
                 # The item may start up to ``most`` words before or after its estimate.
                 lo, hi = max(s - most, int(edges[t])), min(s + len(pattern) + most, int(edges[t + 1]))
                 if hi - lo < len(pattern) - most or (t, i, lo, hi) in done:
@@ -288,7 +308,7 @@ class Searcher:
             held = 0
 
         for k, words in enumerate(texts):
-            if len(words) >= MIN_ITEM_WORDS * (1 - self.max_edits):
+            if len(words) >= self.least:
                 block.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
                 numbers.append(k)
                 held += len(words)

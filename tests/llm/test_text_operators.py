@@ -332,6 +332,17 @@ def test_items_of_every_length_are_found_at_the_full_edit_bound():
         assert hits >= {(i, i) for i in range(20)}, n
 
 
+def test_short_items_and_scripts_without_spaces_are_searched():
+    from pit_engine.llm.decontam import Searcher, words_of
+
+    items = ["Who wrote it first?", "中国的首都是哪一座城市呢？", "日本の首都はどこですか。", "เมืองหลวงของประเทศไทยคือเมืองใด", "Is it “blue”, or is it green, or even red?", "？！", None]
+    texts = ["so: WHO wrote it, first of all", "who wrote it last", "问：中国的首都是哪一座城市呢?答:北京", "问：中国的首都是那一座城市呢", "（日本の首都はどこですか）", "ถาม เมืองหลวงของประเทศไทยคือเมืองใด ตอบ", 'is it "blue" or is it green or even red', "中国", "", None]
+    searcher = Searcher(list(enumerate(items)))
+    hits = {(k, searcher.ids[i]): distance for k, i, distance, *_ in searcher.search([words_of(t) for t in texts])}
+    assert hits == {(0, 0): 0, (2, 1): 0, (3, 1): 1, (4, 2): 0, (5, 3): 0, (6, 4): 0}
+    assert words_of("naïve Straße 한국어 문장") == "naïve straße 한국어 문장".encode().split()
+
+
 # ------------------------------------------------------------------ languages
 
 
