@@ -1,26 +1,23 @@
-"""Line deduplication by winnowing, in DataFrame functions only.
+"""Line deduplication by windows of lines, in DataFrame functions only.
 
 A window starts at each line with words and reaches to the line in which its
-``min_words``-th word stands; its fingerprint is the line with the least hash
-(the last of equal ones). Two texts that share a run of lines with at least
-``min_words`` words share a whole window, so both select the same line of it:
-the fingerprints are guaranteed. Every fingerprint position is joined to the
-earliest position of its hash, a star however often it occurs. From there the
-match is extended both ways over equal lines, as far as a window reaches
-(farther on, the next guaranteed fingerprint takes over). Extended matches with
-one source and offset are united, and those of at least ``min_words`` words are
-deleted. The earliest copy of a line is never deleted.
+``min_words``-th word stands; another one ends at each line and reaches back as
+far. Every line of a run of at least ``min_words`` words lies in a window inside
+the run. A window's fingerprint is the hash of all its lines, so texts with one
+fingerprint share the whole window. Every window is joined to the earliest
+position of its fingerprint, a star however often it occurs: whatever other
+texts share only a part of it, that position holds all of it. Windows with one
+source and offset are united to runs, with the blank lines between and around
+them, and the runs are deleted. The earliest copy of a window is never deleted.
 
 "Earlier" is by doc_id (null last), then by the text's hash, then by line.
 
 Defined cases
   null text                kept as null; no lines
   empty text, blank lines  a blank line has no words; it is deleted only inside a run
-  many blank lines         a stretch of over ``MOST_LINES`` - ``min_words`` of them
-                           inside a run parts it in two, each judged by its words
   lines                    end at a line feed; blanks, tabs and carriage returns at
                            either end don't count for equality
-  very long texts          whole; the work per fingerprint is bounded by a window
+  very long texts          whole; the work per line is bounded by a window
   repeated rows            rows with equal doc_id and text are one document and
                            get the same result; none of them is dropped
   nothing left             the text is empty, the row stays
@@ -37,8 +34,6 @@ from pyspark.sql import functions as F
 from pit_engine.llm.store import materialize
 
 MIN_WORDS = 50
-#: Lines on either side of a fingerprint that an extension may reach, blank lines included.
-MOST_LINES = 128
 
 
 def _lines(text: Column) -> Column:
@@ -58,15 +53,27 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """k, p (line number), c (words before it), h: the lines that are the minimum of a window."""
-    each = lines.select("k", F.posexplode(F.arrays_zip("h", "w")).alias("p", "x")).select("k", "p", "x.h", "x.w").where("w > 0").distinct()
-    before = Window.partitionBy("k").orderBy("p")
-    placed = each.withColumn("c", F.sum("w").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
-    window = Window.partitionBy("k").orderBy("c").rangeBetween(0, min_words - 1)
-    least = F.min(F.struct(F.col("h"), (-F.col("c")).alias("nc"), F.col("p"))).over(window)
-    full = (F.max(F.col("c") + F.col("w")).over(window) - F.col("c")) >= min_words
-    found = placed.select("k", least.alias("m"), full.alias("full")).where("full")
-    return found.select("k", F.col("m.p").alias("p"), (-F.col("m.nc")).alias("c"), F.col("m.h").alias("h")).distinct()
+    """k, key, first, last (line numbers), c0, c1 (words before and up to the end), gb, ga (blank lines before and after): all windows."""
+    each = lines.select("k", F.size("h").alias("n"), F.posexplode(F.arrays_zip("h", "w")).alias("p", "x")).select("k", "n", "p", "x.h", "x.w").where("w > 0").distinct()
+    along = Window.partitionBy("k").orderBy("p")
+    placed = each.withColumn("c1", F.sum("w").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("c0", F.col("c1") - F.col("w")).withColumn("gb", F.col("p") - F.coalesce(F.lag("p").over(along), F.lit(-1)) - 1)
+    placed = placed.withColumn("ga", F.coalesce(F.lead("p").over(along), F.col("n")) - F.col("p") - 1)
+    # The blank lines before a line count as part of it, but for a window's first line.
+    placed = placed.withColumn("g", F.xxhash64("h", "gb"))
+    ahead = Window.partitionBy("k").orderBy("c0").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("k").orderBy("c1").rangeBetween(1 - min_words, 0)
+    place = F.struct("p", "c0", "c1", "gb", "ga", "h")
+
+    def window(first: Column, last: Column, inner: Column, needed: Column) -> Column:
+        ends = [first["p"].alias("first"), last["p"].alias("last"), first["c0"].alias("c0"), last["c1"].alias("c1"), first["gb"].alias("gb"), last["ga"].alias("ga")]
+        whole = needed & (last["c1"] - first["c0"] >= min_words)
+        return F.when(whole, F.struct(F.xxhash64(first["h"], F.slice(inner, F.lit(2), F.size(inner))).alias("key"), *ends))
+
+    framed = placed.select("k", place.alias("x"), F.last(place).over(ahead).alias("l"), F.collect_list("g").over(ahead).alias("lg"), F.first(place).over(back).alias("f"), F.collect_list("g").over(back).alias("fg"))
+    # A window back is not needed if the window ahead from its first line is the same.
+    windows = F.array(window(F.col("x"), F.col("l"), F.col("lg"), F.lit(True)), window(F.col("f"), F.col("x"), F.col("fg"), F.col("x.c0") - F.col("f.c0") >= min_words))
+    return framed.select("k", F.explode(windows).alias("z")).where("z is not null").select("k", "z.*")
 
 
 def _order(k: str, p: str) -> Column:
@@ -74,49 +81,30 @@ def _order(k: str, p: str) -> Column:
     return F.struct(F.col(f"{k}.id").isNull().alias("n"), F.col(k).alias("k"), F.col(p).alias("p"))
 
 
-def _reach(hd: Column, wd: Column, hs: Column, min_words: int) -> Column:
-    """How many lines from the start of two slices are equal, and their words, within a window's reach."""
-    pairs = F.arrays_zip(hd.alias("a"), wd.alias("w"), hs.alias("b"))
-    start = F.struct(F.lit(True).alias("on"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("words"))
-
-    def step(s: Column, z: Column) -> Column:
-        on = s["on"] & F.coalesce(z["a"] == z["b"], F.lit(False)) & (s["words"] < min_words)
-        more = F.struct(F.lit(True).alias("on"), (s["n"] + 1).alias("n"), (s["words"] + z["w"]).cast("bigint").alias("words"))
-        return F.when(on, more).otherwise(F.struct(F.lit(False).alias("on"), s["n"].alias("n"), s["words"].alias("words")))
-
-    return F.aggregate(pairs, start, step)
-
-
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k, first, last (line numbers), words, source (k), source_first: later repeated runs."""
-    lines = materialize(line_table(docs, id_col, text_col), "lines")
-    prints = materialize(fingerprints(lines, min_words), "fingerprints")
-    firsts = prints.groupBy("h").agg(F.min(_order("k", "p")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("h", F.col("o.k").alias("s"), F.col("o.p").alias("q"))
-    matches = prints.join(firsts, "h").where(~(F.col("k").eqNullSafe(F.col("s")) & (F.col("p") == F.col("q")))).drop("h")
-    arrays = lines.groupBy("k").agg(F.first("h").alias("h"), F.first("w").alias("w"))
-    own = arrays.select(F.col("k"), F.col("h").alias("hd"), F.col("w").alias("wd"))
-    other = arrays.select(F.col("k").alias("s"), F.col("h").alias("hs"))
-    near = lambda a, at: F.slice(a, F.greatest(F.lit(1), F.col(at) + 1 - MOST_LINES), F.least(F.col(at), F.lit(MOST_LINES)))
-    far = lambda a, at: F.slice(a, F.col(at) + 2, F.lit(MOST_LINES))
-    cut = lambda d, a, at: d.withColumn(f"{a}_b", F.reverse(near(a, at))).withColumn(f"{a}_f", far(a, at)).drop(a)
-    both = cut(cut(matches.join(own, ["k"]), "hd", "p").withColumn("wp", F.get("wd", F.col("p"))), "wd", "p")
-    both = cut(both.join(other, ["s"]), "hs", "q")
-    back, on = _reach(F.col("hd_b"), F.col("wd_b"), F.col("hs_b"), min_words), _reach(F.col("hd_f"), F.col("wd_f"), F.col("hs_f"), min_words)
-    spans = both.select("k", "s", (F.col("p") - F.col("q")).alias("shift"), "p", "c", "wp", back.alias("b"), on.alias("f")).select(
+    prints = materialize(fingerprints(line_table(docs, id_col, text_col), min_words), "fingerprints")
+    earliest = F.min_by(F.struct("k", "first", "c0", "gb", "ga"), _order("k", "first"))
+    firsts = prints.groupBy("key").agg(earliest.alias("o"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("key", F.col("o.k").alias("s"), F.col("o.first").alias("q"), F.col("o.c0").alias("sc"), F.col("o.gb").alias("sgb"), F.col("o.ga").alias("sga"))
+    matches = prints.join(firsts, "key").where(~(F.col("k").eqNullSafe(F.col("s")) & (F.col("first") == F.col("q"))))
+    # Windows at one offset in lines and in words, and without words between them, have equal lines between them.
+    spans = matches.select(
         "k",
         "s",
-        "shift",
-        (F.col("p") - F.col("b.n")).alias("first"),
-        (F.col("p") + F.col("f.n")).alias("last"),
-        (F.col("c") - F.col("b.words")).alias("c0"),
-        (F.col("c") + F.col("wp") + F.col("f.words")).alias("c1"),
+        (F.col("first") - F.col("q")).alias("shift"),
+        (F.col("c0") - F.col("sc")).alias("words_shift"),
+        (F.col("first") - F.least("gb", "sgb")).alias("first"),
+        (F.col("last") + F.least("ga", "sga")).alias("last"),
+        "c0",
+        "c1",
     )
-    along = Window.partitionBy("k", "s", "shift").orderBy("first", "last")
-    fresh = F.col("first") > F.coalesce(F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1))
+    aligned = ["k", "s", "shift", "words_shift"]
+    along = Window.partitionBy(*aligned).orderBy("c0", "c1")
+    fresh = F.col("c0") > F.coalesce(F.max("c1").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     island = spans.withColumn("new", fresh.cast("int")).withColumn("g", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = island.groupBy("k", "s", "shift", "g").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max("c1") - F.min("c0")).alias("words"))
-    return runs.where(F.col("words") >= min_words).select("k", "first", "last", "words", F.col("s").alias("source"), (F.col("first") - F.col("shift")).alias("source_first"))
+    runs = island.groupBy(*aligned, "g").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max("c1") - F.min("c0")).alias("words"))
+    return runs.select("k", "first", "last", "words", F.col("s").alias("source"), (F.col("first") - F.col("shift")).alias("source_first"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -232,6 +232,38 @@ def test_every_long_repeated_line_is_found_in_a_hot_table(spark):
     assert [r.doc_id for r in got] == [0]
 
 
+def test_every_line_of_a_repeated_run_goes_whatever_other_texts_share_of_it(spark):
+    import random
+
+    from pit_engine.llm.linededup import dedup_lines
+
+    rng = random.Random(3)
+    # Few lines, so that windows share lines, parts of runs and whole runs with several texts.
+    kinds = [" ".join(f"l{k}_{i}" for i in range(w)) for k, w in enumerate([1, 3, 7, 12, 20, 24, 30, 49, 50, 70])]
+    lines = [[rng.choice(kinds) for _ in range(rng.randrange(1, 14))] for _ in range(60)]
+    for i in range(20, 60, 3):
+        at = rng.randrange(i)
+        lines[i] += lines[at][rng.randrange(len(lines[at])) :]
+    want = [set() for _ in lines]
+    for d, a in enumerate(lines):
+        for e in range(d + 1):
+            b = lines[e]
+            for shift in range(-len(b), len(a)):
+                if e == d and shift <= 0:
+                    continue
+                run = []
+                for p in range(max(0, shift), len(a) + 1):
+                    q = p - shift
+                    if p < len(a) and q < len(b) and a[p] == b[q]:
+                        run.append(p)
+                        continue
+                    if sum(len(a[x].split()) for x in run) >= 50:
+                        want[d] |= set(run)
+                    run = []
+    got = {r.doc_id: set(r._dropped or []) for r in dedup_lines(docs(spark, ["\n".join(a) for a in lines])).collect()}
+    assert [got[d] for d in range(len(lines))] == want
+
+
 # ------------------------------------------------------------------ decontamination
 
 
