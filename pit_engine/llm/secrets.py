@@ -4,7 +4,10 @@ The patterns give the base spans. The method adds strings that stand shortly
 after a sensitive word and that a compressor cannot explain: each candidate's
 marginal bytes are measured by zstandard primed with a dictionary of common
 identifiers and the code around the candidate. A word of the language or a
-name used nearby costs few bytes; random material costs nearly its entropy.
+name used nearby costs few bytes; random material costs nearly its entropy. A
+long string is coded by the frequencies of its characters, so it's held against
+the entropy of its own alphabet, and its pieces, too short for such a code,
+against the bits of plain characters.
 
 Defined cases
   null or empty text   no spans
@@ -18,6 +21,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,6 +44,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 AROUND = 2048
 #: Least marginal bits for each character, and least kinds of characters (lower, upper, digit).
 NOVEL_BITS, CLASSES = 6.5, 2
+#: Characters of a piece of a long string, and the least share of its alphabet's entropy that the whole costs.
+PIECE, OF_ENTROPY = 32, 0.85
+#: Alphabets of common encodings, and the share of the letters in words from which a string is a name.
+ALPHABETS = (re.compile(r"[0-9A-F]+|[0-9a-f]+"), 16), (re.compile(r"[A-Z2-7=]+|[a-z2-7=]+"), 32)
+WORDS, NAME = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 0.8
 
 #: Identifiers that code and configuration use often; they prime the compressor.
 IDENTIFIERS = (
@@ -84,6 +93,30 @@ class Novelty:
         return 8 * (len(primed.compress(coded)) - len(primed.compress(b""))) / len(coded)
 
 
+def _entropy(s: str) -> float:
+    """Bits of a character drawn from the alphabet of the string."""
+    size = next((n for p, n in ALPHABETS if p.fullmatch(s)), 0)
+    classes = ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"))
+    return math.log2(size or sum(n for n, p in classes if re.search(p, s)) + len(set(re.findall("[^A-Za-z0-9]", s))))
+
+
+def _is_name(s: str) -> bool:
+    """Whether most letters of a string stand in words."""
+    return sum(map(len, WORDS.findall(s))) >= NAME * len(re.findall("[A-Za-z]", s))
+
+
+def is_novel(before: str, s: str, after: str, novelty: Novelty) -> bool:
+    """Whether a string can't be explained by its surroundings, at any length."""
+    bits = novelty.bits(before, s, after)
+    if bits >= NOVEL_BITS or len(s) <= PIECE:
+        return bits >= NOVEL_BITS
+    # With hardly a digit, a path or a sentence of names isn't random at this length.
+    if bits < OF_ENTROPY * _entropy(s) or 20 * len(re.findall("[0-9]", s)) < len(s) and _is_name(s):
+        return False
+    pieces = [s[i : i + PIECE] for i in range(0, len(s), PIECE)]
+    return sum(len(p) * novelty.bits(before, p, after) for p in pieces) >= NOVEL_BITS * len(s)
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
     """Spans of kind "novel": incompressible strings in sensitive context."""
     folded = text.lower()
@@ -99,9 +132,11 @@ def added_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
             if any(s < m.end() and m.start() < e for s, e, _ in base):
                 continue
             c = m.group()
-            if sum(bool(re.search(p, c)) for p in ("[a-z]", "[A-Z]", "[0-9]")) < CLASSES or not re.search("[0-9]", c):
+            if sum(bool(re.search(p, c)) for p in ("[a-z]", "[A-Z]", "[0-9]")) < CLASSES:
+                continue
+            if not re.search("[0-9]", c) and _is_name(c):
                 continue
-            if novelty.bits(text[max(0, m.start() - AROUND) : m.start()], c, text[m.end() : m.end() + AROUND]) >= NOVEL_BITS:
+            if is_novel(text[max(0, m.start() - AROUND) : m.start()], c, text[m.end() : m.end() + AROUND], novelty):
                 out.append((m.start(), m.end(), "novel"))
     return out
 

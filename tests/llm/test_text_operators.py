@@ -452,6 +452,25 @@ def test_novel_strings_are_reported_and_known_ones_are_not(spark):
     assert all(k == "novel" for k, *_ in got[4])
 
 
+def test_random_secrets_of_any_length_and_alphabet_are_reported():
+    import random
+    import string
+
+    from pit_engine.llm.secrets import Novelty, added_spans
+
+    rng, novelty = random.Random(4), Novelty()
+    b64 = string.ascii_letters + string.digits + "+/"
+    for alphabet, lengths in ((string.digits + "ABCDEF", (64, 72, 128, 512)), (string.ascii_uppercase + "234567", (64, 200)), (b64, (32, 64, 256, 1024)), (string.ascii_letters, (32, 64, 300))):
+        for n in lengths:
+            found = 0
+            for _ in range(20):
+                key = "".join(rng.choice(alphabet) for _ in range(n))
+                found += added_spans(f"the signing key {key} is here", [], novelty) == [(16, 16 + n, "novel")]
+            assert found >= 19, (alphabet, n, found)
+    names = ["getClientSecretValueFromEnvironment", "com/example/application/configuration/authorization/service/internal/handlers/default2", "Abc1" * 50, "passwordResetTokenValueProviderFactory"]
+    assert not [x for x in names if added_spans(f"the signing key {x} is here", [], novelty)]
+
+
 @pytest.mark.parametrize("rows", [1, 0])
 def test_pipeline_stages_keep_columns(spark, tmp_path, rows):
     import corpus_pipeline
