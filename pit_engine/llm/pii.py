@@ -50,7 +50,7 @@ LOOSE = {
     "phone": r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
 #: A text is searched for a kind only if it has the kind's sign (a necessary condition).
-SIGN = {"email": r"@|at[\])}]", "ip": r"[0-9]\]?\.", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[0-9][\x20).0-9-]"}
+SIGN = {"email": r"@|at[\])}]", "ip": r"[0-9]\[?\.", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[0-9][\x20().0-9-]"}
 
 #: Gazetteers (fixed values).
 DOMAINS = r"(?i)[.\]})\x20](?:com|org|net|edu|gov|mil|int|info|biz|io|co|de|fr|es|it|uk|eu|us|ca|ch|at|nl|be|pl|se|no|dk|fi|pt|br|mx|ar|jp|cn|in|au|ru)$"

@@ -62,6 +62,30 @@ def test_added_personal_data(spark):
     assert not any(a for a in added[60:])
 
 
+def test_every_match_has_its_kinds_sign():
+    import random
+
+    from pit_engine.llm.pii import BASE, LOOSE, SIGN
+
+    rng, found = random.Random(6), Counter()
+    kinds = {
+        "email": ["a", "b.c", "@", ".", " [at] ", "(at)", "{at}", "[dot]", " (dot) "],
+        "ip": ["1", "23", ".", "[.]"],
+        "card": ["1", "23", " ", "-"],
+        "phone": ["+", "1", "(", ")", " ", ".", "-", "(555) ", "555-", "0147"],
+    }
+    for kind, parts in kinds.items():
+        for patterns in (BASE, LOOSE):
+            if kind not in patterns:
+                continue
+            pattern = re.compile(patterns[kind].replace(r"\G|", ""))
+            texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(3, 9))) for _ in range(20000)]
+            for match in filter(None, map(pattern.search, ["10[.]0[.]0[.]1", "+1(2(3(4(5(6(7(8", *texts])):
+                found[kind, patterns is LOOSE] += 1
+                assert re.search(SIGN[kind], match.group()), (kind, match.group())
+    assert len(found) == 7 and min(found.values()) >= 5, found
+
+
 # ------------------------------------------------------------------ near duplicates
 
 
