@@ -15,11 +15,13 @@ counts cover all documents.
 
 Defined cases
   null or empty text   no spans
-  very long texts      scanned whole; patterns start only where a run starts, so
-                       their time grows with the text
+  very long texts      scanned whole; patterns start only where a run starts, places
+                       and overlaps come from sweeps in blocks, so the time grows
+                       with the text
   repeated rows        each row has its own result
   overlaps             base spans of different kinds may overlap; an added span
-                       never overlaps another span
+                       never overlaps another span; of overlapping candidates the one
+                       that starts first is added, then the one of the first kind
   ties                 a candidate with even odds is not added
   null ids             kept as null
   empty table          no rows
@@ -28,6 +30,8 @@ Defined cases
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,18 +81,73 @@ BUCKETS = 64
 FEATURES = 3 * LABELERS + 2 * BUCKETS
 
 
+#: Values of a sweep that are gathered before they are put to those of the blocks before them.
+SWEEP_BLOCK = 256
+#: Characters of a piece of text in which the surroundings of a span are looked up.
+PIECE = 1024
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of an array-valued expression, for arrays that it refers to several times and that shall be computed once."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+def _sweep(values: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """All outputs of a fold over an array: ``step`` gives the next state and an output of type ``kind``.
+
+    An array that grows by one value copies all that it holds, so outputs are
+    gathered in blocks and the blocks are put together.
+    """
+    def blocks_of(values: Column) -> Column:
+        last = F.ceil(F.size(values) / SWEEP_BLOCK).cast("int") - 1
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(values, i * SWEEP_BLOCK + 1, F.lit(SWEEP_BLOCK)))
+        return F.when(last >= 0, blocks).otherwise(F.array_repeat(values, 0))
+
+    def in_block(state: Column, value: Column) -> Column:
+        after, out = step(state["at"], value)
+        return F.struct(after.alias("at"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    def over_blocks(state: Column, block: Column) -> Column:
+        begin = F.struct(state["at"].alias("at"), F.expr(f"CAST(array() AS array<{kind}>)").alias("out"))
+        return F.aggregate(block, begin, in_block, lambda inner: F.struct(inner["at"].alias("at"), F.concat(state["out"], F.array(inner["out"])).alias("out")))
+
+    begin = F.struct(start.alias("at"), F.expr(f"CAST(array() AS array<array<{kind}>>)").alias("out"))
+    return F.aggregate(_once(values, blocks_of), begin, over_blocks, lambda state: F.flatten(state["out"]))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """All matches as structs (start, end, s): code points, from the lengths of the pieces between matches."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,s:string>>)")
+    pieces = F.split(text, pattern, -1)
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["s"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["s"].alias("s")))).alias("found"))
+    def placed(hits: Column) -> Column:
+        lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda piece, s: F.length(piece) + F.length(s))
+        ends = _sweep(lengths, F.lit(0), lambda at, n: (at + n, at + n), "int")
+        return F.zip_with(ends, hits, lambda end, s: F.struct((end - F.length(s)).alias("start"), end.alias("end"), s.alias("s")))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda piece, s: F.struct(piece.alias("piece"), s.alias("s")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda state: state["found"])
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _surrounded(hits: Column, pieces: Column) -> Column:
+    """Matches with ``before`` and ``after``: the ``REACH`` characters before and half as many after each, in lower case.
+
+    A place deep in a text is found by counting through all that stands before
+    it, so it is counted in the text's pieces.
+    """
+
+    def part(start: Column, n: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        near = F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit("")))
+        return F.lower(F.substring(near, start - first * PIECE + 1, n))
+
+    def with_context(m: Column) -> Column:
+        before = part(F.greatest(m["start"] - REACH, F.lit(0)), F.least(m["start"], F.lit(REACH)))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["s"].alias("s"), before.alias("before"), part(m["end"], F.lit(REACH // 2)).alias("after"))
+
+    return F.transform(hits, with_context)
 
 
 def _digits(s: Column) -> Column:
@@ -122,11 +181,9 @@ def _sign(value: Column) -> Column:
     return F.when(value, 1).otherwise(-1)
 
 
-def _votes(kind: str, text: Column, m: Column, strict: Column) -> Column:
+def _votes(kind: str, m: Column, strict: Column) -> Column:
     """The labelers' votes on one candidate, each 0, 1 or 2 for -1, 0, +1."""
-    s, n = m["s"], F.length(_digits(m["s"]))
-    before = F.lower(F.substring(text, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH))))
-    after = F.lower(F.substring(text, m["end"] + 1, F.lit(REACH // 2)))
+    s, n, before, after = m["s"], F.length(_digits(m["s"])), m["before"], m["after"]
     structure = {
         "email": _sign((F.length(s) <= 254) & ~s.contains("..") & ~s.startswith(".")),
         "ip": _sign(_small_parts(F.regexp_replace(s, r"[\[\]]", "")) & ~s.rlike(r"(?:^|\.)0[0-9]")),
@@ -147,16 +204,17 @@ def _votes(kind: str, text: Column, m: Column, strict: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, found: every candidate span with its kind, base flag, votes and features."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    text = F.col("text")
+    rows = rows.withColumn("pieces", _pieces(F.col("text")))
+    text, pieces = F.col("text"), F.col("pieces")
     none = F.expr("CAST(array() AS array<struct<kind:int,start:int,end:int,base:boolean,loose:boolean,votes:array<int>,features:array<int>>>)")
     parts = []
     for k, kind in enumerate(KINDS):
 
         def judged(m: Column, loose: bool, k: int = k, kind: str = kind) -> Column:
             base = F.lit(False) if loose else is_base(kind, m["s"])
-            votes = _votes(kind, text, m, F.lit(0) if loose else _sign(base))
+            votes = _votes(kind, m, F.lit(0) if loose else _sign(base))
             shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(m["s"], r"[0-9]", "9"), r"[a-z]+", "a"), r"[A-Z]+", "A")
-            word = F.lower(F.regexp_extract(F.substring(text, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH))), r"([\p{L}]+)[^\p{L}]*$", 1))
+            word = F.regexp_extract(m["before"], r"([\p{L}]+)[^\p{L}]*$", 1)
             bucket = lambda x, first: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int") + first
             by_vote = [F.get(votes, F.lit(j)) + 3 * j for j in range(LABELERS)]
             features = F.array(*by_vote, bucket(shape, 3 * LABELERS), bucket(word, 3 * LABELERS + BUCKETS))
@@ -165,9 +223,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         hits = _matches(text, BASE[kind])
         if kind == "card":
             hits = F.filter(hits, lambda m: F.length(m["s"]) >= 13)
-        found = F.transform(hits, _one(judged, False))
+        found = F.transform(_surrounded(hits, pieces), _one(judged, False))
         if kind in LOOSE:
-            found = F.concat(found, F.transform(_matches(text, LOOSE[kind]), _one(judged, True)))
+            found = F.concat(found, F.transform(_surrounded(_matches(text, LOOSE[kind]), pieces), _one(judged, True)))
         parts.append(F.when(text.rlike(SIGN[kind]), found).otherwise(none))
     return rows.select("doc_id", F.concat(*parts).alias("found"))
 
@@ -242,19 +300,23 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def accepted(c: Column) -> Column:
         first = c["kind"] * (FEATURES + 1)
         score = F.aggregate(c["features"], F.get("weights", first + FEATURES), lambda a, f: a + F.get("weights", first + f))
-        clear = ~F.exists("stands", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return ~c["base"] & (score > 0) & clear
-
-    none = F.expr("CAST(array() AS array<struct<kind:int,start:int,end:int>>)")
-    plain = lambda c: F.struct(c["kind"], c["start"], c["end"])
-
-    def grow(kept: Column, c: Column) -> Column:
-        apart = ~F.exists(kept, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.when(apart, F.concat(kept, F.array(plain(c)))).otherwise(kept)
+        return ~c["base"] & (score > 0)
 
+    placed = lambda xs, added: F.transform(xs, lambda c: F.struct(c["start"], F.lit(added).alias("added"), c["kind"], c["end"]))
     rows = rows.withColumn("stands", base).withColumn("more", F.filter("found", accepted))
-    added = F.aggregate("more", none, grow)
-    spans = F.sort_array(F.concat(F.transform("stands", plain), added))
+    rows = rows.withColumn("placed", F.sort_array(F.concat(placed("stands", False), placed("more", True))))
+    # For each span the start of the next base span, swept from the end.
+    after = F.reverse(_sweep(F.reverse("placed"), F.lit(2**31 - 1), lambda at, x: (F.when(x["added"], at).otherwise(x["start"]), at), "int"))
+    pairs = F.zip_with("placed", after, lambda x, n: F.struct(x["start"].alias("start"), x["end"].alias("end"), (~x["added"]).alias("base"), n.alias("next")))
+    rows = rows.withColumn("pairs", F.when(F.size("more") > 0, pairs))
+
+    def stays(until: Column, x: Column) -> tuple[Column, Column]:
+        keep = x["base"] | (x["start"] >= until) & (x["next"] >= x["end"])
+        return F.when(keep, F.greatest(until, x["end"])).otherwise(until), keep
+
+    kept = F.zip_with("placed", _sweep(F.col("pairs"), F.lit(0), stays, "boolean"), lambda x, keep: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), keep.alias("keep")))
+    spans = F.when(F.size("more") > 0, F.filter(kept, lambda x: x["keep"])).otherwise(F.transform("stands", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(True).alias("keep"))))
     names = F.array(*(F.lit(k) for k in KINDS))
-    named = lambda spans: F.transform(spans, lambda c: F.struct(F.get(names, c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return rows.select("doc_id", named(F.sort_array(F.transform("stands", plain))).alias("base"), named(spans).alias("spans"))
+    named = lambda spans: F.transform(F.sort_array(spans), lambda c: F.struct(F.get(names, c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    plain = F.transform("stands", lambda c: F.struct(c["kind"], c["start"], c["end"]))
+    return rows.select("doc_id", named(plain).alias("base"), named(spans).alias("spans"))
