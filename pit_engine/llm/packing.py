@@ -15,11 +15,15 @@ Defined cases
   null ids               kept as null
   empty table            no rows
   extra columns          not read; only the id and the text are
+  special strings        a text that spells a special token gets the token's id, as the
+                         vocabulary's own tokenizer does by default; with
+                         ``special_tokens={}`` such strings are ordinary text
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +39,8 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Entries of the per-worker cache from words to ids; it is emptied when full.
 CACHE_WORDS = 300_000
 END_ID = 1
+#: Special tokens of the installed byte-level vocabulary (fixed values).
+SPECIAL_TOKENS = {"<|endoftext|>": 50256}
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, ids binary"
 
@@ -48,7 +54,7 @@ class WordTokenizer:
     is empty or starts with white space are tokenized as a whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special_tokens: dict[str, int]):
         import base64
 
         import tiktoken
@@ -57,6 +63,8 @@ class WordTokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self._encode = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
+        self._special = {text: token.to_bytes(4, "little") for text, token in special_tokens.items()}
+        self._at_special = re.compile("(" + "|".join(map(re.escape, sorted(special_tokens, key=len, reverse=True))) + ")") if special_tokens else None
 
     def _bytes(self, text: str) -> bytes:
         from array import array
@@ -64,6 +72,11 @@ class WordTokenizer:
         return array("I", self._encode(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self._at_special and any(x in text for x in self._special):
+            return b"".join(self._special.get(part) or self._ordinary(part) for part in self._at_special.split(text) if part)
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         words = text.split(" ")
         if len(words) == 1:
             return self._bytes(text)
@@ -81,14 +94,14 @@ class WordTokenizer:
         return b"".join(out)
 
 
-_tokenizers: dict[tuple[str, str], WordTokenizer] = {}
+_tokenizers: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(ranks_path: str, pattern: str) -> WordTokenizer:
+def tokenizer(ranks_path: str, pattern: str, special_tokens: dict[str, int] = SPECIAL_TOKENS) -> WordTokenizer:
     """One tokenizer for each Python worker, kept from task to task."""
-    key = (ranks_path, pattern)
+    key = (ranks_path, pattern, *sorted(special_tokens.items()))
     if key not in _tokenizers:
-        _tokenizers[key] = WordTokenizer(ranks_path, pattern)
+        _tokenizers[key] = WordTokenizer(ranks_path, pattern, special_tokens)
     return _tokenizers[key]
 
 
@@ -189,9 +202,9 @@ def pack(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[tuple[int,
     return out
 
 
-def _packer(ranks_path: str, pattern: str, capacity: int, window: int):
+def _packer(ranks_path: str, pattern: str, special_tokens: dict[str, int], capacity: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks_path, pattern).encode
+        encode = tokenizer(ranks_path, pattern, special_tokens).encode
         end = END_ID.to_bytes(4, "little")
         part = TaskContext.get().partitionId() << 33
         sequences = 0
@@ -241,6 +254,7 @@ def pack_documents(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
+    special_tokens: dict[str, int] = SPECIAL_TOKENS,
     capacity: int = SEQUENCE_TOKENS,
     window_tokens: int = WINDOW_TOKENS,
 ) -> DataFrame:
@@ -256,4 +270,4 @@ def pack_documents(
 
         ranks_path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_packer(ranks_path, pattern, capacity, window_tokens), PIECES)
+    return rows.mapInArrow(_packer(ranks_path, pattern, special_tokens, capacity, window_tokens), PIECES)
