@@ -11,7 +11,10 @@ against the bits of plain characters.
 
 Defined cases
   null or empty text   no spans
-  very long texts      scanned whole; only the neighbourhood of a candidate primes
+  sensitive context    a candidate starts at most ``REACH`` characters after a sensitive word;
+                       its surroundings are the ``AROUND`` characters on either side of it.
+                       Both are part of the definition, at every size of text
+  very long texts      scanned whole, in time that grows with the text
   repeated rows, ties  each row has its own result
   overlaps             an added span never overlaps a base span or another one
   null ids             kept as null
@@ -24,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate, islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +42,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: Words after which a string may be a secret, and how far after.
 SENSITIVE = re.compile(r"(?i:password|passwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|auth[_ -]?key|client[_ -]?id|signing[_ -]?key)", re.ASCII)
 SENSITIVE_PARTS = ("passw", "passph", "secret", "token", "key", "credential", "bearer", "authorization", "client")
-REACH = 48
+REACH, LEAST = 48, 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+START = re.compile(r"[A-Za-z0-9+/_.=-]{16}")
 #: Text on either side of a candidate that primes the compressor, and the candidate's part that is measured.
 AROUND = 2048
 #: Least marginal bits for each character, and least kinds of characters (lower, upper, digit).
@@ -123,13 +128,21 @@ def added_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
     if not any(w in folded for w in SENSITIVE_PARTS):
         return []
     out: list[tuple[int, int, str]] = []
-    seen = 0
+    seen = at = 0
+    # No base span that starts later ends before one of these, so the sweep below passes each once.
+    ends = list(accumulate((e for _, e, _ in base), max))
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), seen)):
-            if m.start() > word.end() + REACH:
+        start = max(word.end(), seen)
+        while start <= word.end() + REACH:
+            # A candidate is searched for no further than it may start.
+            first = START.search(text, start, min(len(text), word.end() + REACH + LEAST))
+            if not first:
                 break
-            seen = m.end()
-            if any(s < m.end() and m.start() < e for s, e, _ in base):
+            m = CANDIDATE.match(text, first.start())
+            start = seen = m.end()
+            while at < len(base) and ends[at] <= m.start():
+                at += 1
+            if any(s < m.end() and m.start() < e for s, e, _ in takewhile(lambda b: b[0] < m.end(), islice(base, at, None))):
                 continue
             c = m.group()
             if sum(bool(re.search(p, c)) for p in ("[a-z]", "[A-Z]", "[0-9]")) < CLASSES:
