@@ -45,6 +45,8 @@ WORD_LIMIT = 6.0
 CACHE_WORDS = 300_000
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that count as parts of a word but are no letters, such as fractions and circled digits.
+_NO_LETTER = re.compile("[" + "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "DEVANAGARI", "BENGALI", "TAMIL", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK")
 
 PREDICTED = "doc_id bigint, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
@@ -79,7 +81,7 @@ _grams = _Grams()
 
 def _buckets(word: str) -> list[int]:
     """Hashed features of a lower-case word: its letter n-grams of 3, ends marked."""
-    framed = f"^{word}$" if len(word) <= 64 else f"^{word[:32]}{word[-32:]}$"
+    framed = f"^{word}$"
     return [_grams[framed[i : i + 3]] for i in range(len(framed) - 2)]
 
 
@@ -89,7 +91,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_lang: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            by_lang.setdefault(lang, Counter()).update(WORD.findall((text.as_py() or "").lower()))
+            by_lang.setdefault(lang, Counter()).update(WORD.findall(_folded(text.as_py() or "")))
             counts[lang, -100] += 1
         for lang, words in by_lang.items():
             for word, n in words.items():
@@ -209,9 +211,10 @@ class Model:
 
 
 def _folded(text: str) -> str:
-    """Lower case, but only where that keeps every position."""
+    """Lower case, but only where that keeps every position; blanks for numbers that look like letters to a pattern."""
     lower = text.lower()
-    return lower if len(lower) == len(text) else text
+    text = lower if len(lower) == len(text) else text
+    return text if text.isascii() else _NO_LETTER.sub(" ", text)
 
 
 #: Characters of text that are worked on at once.
