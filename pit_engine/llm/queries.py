@@ -100,7 +100,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pit_engine.llm.warc import plan_records, read_archives, write_archives
 
     manifest = write_archives(plan_records(_table(spark, sf_dir, "pages")))
-    chunks = read_archives(manifest, with_data=False)
+    chunks = read_archives(manifest)
     return chunks.where("is_last").select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
 
 
@@ -155,7 +155,7 @@ WITH u AS (
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM u q JOIN u c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+  FROM (SELECT DISTINCT * FROM u) q JOIN u c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (

@@ -15,6 +15,7 @@ Defined cases
                          unless no equal payload has a number
   equal payloads         of at least ``min_revisit`` bytes: the smallest page_id is
                          the response; repeated rows of that page_id all are
+  very long urls         whole; a header is held in memory, a payload never is twice
   empty table            no archive, no rows
   extra columns          not read
 """
@@ -55,7 +56,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha2("payload", 256)})
     large = F.col("payload_bytes") >= min_revisit
     first = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n")
+    # Written, so that its size is known when the join with the payloads is planned.
+    first = materialize(first.where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n"), "repeated")
     refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return rows.join(first, "payload_digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
@@ -152,13 +154,11 @@ class _Stream:
                 return True
         return False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
+    def until(self, mark: bytes) -> bytes:
         """Bytes up to and with ``mark``; empty at the end of the archive."""
         at = 0
         while (found := self.buffer.find(mark, at)) < 0:
             at = max(0, len(self.buffer) - len(mark) + 1)
-            if len(self.buffer) > most:
-                raise ValueError("a header without an end")
             if not self._more():
                 if self.buffer.strip():
                     raise ValueError("the archive ends within a header")
