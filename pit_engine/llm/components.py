@@ -32,13 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
     whose large partitions can be split, so a hub is no task of its own.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == mark or state[0] == 0:
-            break
-        mark = state
-        then, now = now, materialize(_small_star(_large_star(now)), "stars")
+    count = now.count()
+    while count:
+        then, before = now, count
+        now = materialize(_small_star(_large_star(then)), "stars")
+        count = now.count()
+        # Both are sets of edges: equally many, and none of the old ones gone.
+        same = count == before and then.join(now, ["a", "b"], "left_anti").isEmpty()
         discard(then)
+        if same:
+            break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
