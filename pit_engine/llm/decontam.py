@@ -270,7 +270,7 @@ class Searcher:
                         found.add((t, s - at, i))
         return found
 
-    def search(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
+    def search(self, texts: Iterable[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, distance, start word, end word): the closest place of each pair."""
         if not self.items:
             return []
@@ -340,7 +340,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             searcher = shared.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                hits = searcher.search([words_of(t.as_py()) for t in batch.column(1)])
+                hits = searcher.search(words_of(t.as_py()) for t in batch.column(1))
                 if hits:
                     k, i, distance, start, end = zip(*sorted(hits), strict=True)
                     columns = [pa.array([ids[x] for x in k], pa.int64()), pa.array([searcher.ids[x] for x in i], pa.int64()), *(pa.array(x, pa.int32()) for x in (distance, start, end))]
@@ -359,7 +359,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                leaks = {h[0] for h in shared.value.search([words_of(t.as_py()) for t in batch.column(at)])}
+                leaks = {h[0] for h in shared.value.search(words_of(t.as_py()) for t in batch.column(at))}
                 yield batch.filter(pa.array([k not in leaks for k in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

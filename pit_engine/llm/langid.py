@@ -218,7 +218,7 @@ def _folded(text: str) -> str:
 
 
 #: Characters of text that are worked on at once.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def _predictions(model: Model, texts: pa.Array) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
