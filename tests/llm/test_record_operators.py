@@ -167,6 +167,29 @@ def test_own_rows_with_repeated_ids_are_left_out(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, 768 * 768), (0, 512 * 768), (0, 256 * 768)]
 
 
+def test_repeated_queries_and_large_components(spark):
+    from pit_engine.llm.topk import integer_vectors, top_k
+
+    big = 3e38
+    rows = [(0, [big, 1.0]), (0, [big, 1.0]), (1, [big, 2.0]), (2, [-big, 0.0]), (3, [0.0, 5.0]), (4, [1e9, 1e9]), (5, [0.25, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit(1))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(integer_vectors(df), F.col("vec_id") % 4 == 0, k=3).collect()}
+    assert [got[0, k] for k in (1, 2, 3)] == [(1, 2**63 - 1), (4, 2**63 - 1), (5, 2**63 - 1)]
+    assert [got[4, k] for k in (1, 2, 3)] == [(0, 2**63 - 1), (0, 2**63 - 1), (1, 2**63 - 1)]
+    assert len(got) == 6
+    whole = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1.0, 0.5]), (2, [-1.0, -0.25])], "vec_id bigint, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k(integer_vectors(whole), F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 256 * 10**9 * (256 + 128)), (2, 256 * 10**9 * (-256 - 64))]
+
+
+def test_archives_with_very_long_urls(spark):
+    from pit_engine.llm.warc import plan_records, read_archives, write_archives
+
+    url = "http://example.org/" + "a" * 3_000_000
+    pages = spark.createDataFrame([(1, url, "x" * 200), (2, url, "x" * 200)], "page_id bigint, url string, html string")
+    got = {r.record_id: r for r in read_archives(write_archives(plan_records(pages))).where("is_last").collect()}
+    assert got[1].target_uri == url and got[2].refers_to == 1 and got[2].record_type == "revisit"
+
+
 # ------------------------------------------------------------------ the registered queries
 
 

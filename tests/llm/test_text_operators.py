@@ -62,6 +62,51 @@ def test_added_personal_data(spark):
     assert not any(a for a in added[60:])
 
 
+def test_personal_data_of_long_texts_takes_time_in_proportion(spark):
+    import time
+
+    from pit_engine.llm.pii import find_personal_data
+
+    texts = ["é a@b.cd " * 120_000, "10[.]20[.]30[.]40 " * 40_000, "call (212) 555-0147 or mail a [at] b [dot] com " * 20_000, "4111 1111 1111 1112, " * 40_000]
+    find_personal_data(docs(spark, texts[:1]).withColumn("text", F.substring("text", 1, 100))).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n, r.spans, r.last) for r in find_personal_data(docs(spark, texts, parts=4)).select("doc_id", F.size("base").alias("n"), F.size("spans").alias("spans"), F.get("base", F.size("base") - 1).alias("last")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0][0] == 120_000 and (got[0][2].start, got[0][2].end) == (9 * 120_000 - 7, 9 * 120_000 - 1)
+    assert [got[i][0] for i in (1, 2, 3)] == [0, 0, 0] and got[2][1] >= 20_000
+
+
+def test_sweep_equals_a_loop(spark):
+    from pit_engine.llm.pii import SWEEP_BLOCK, _sweep
+
+    sizes = [0, 1, SWEEP_BLOCK - 1, SWEEP_BLOCK, SWEEP_BLOCK + 1, 3 * SWEEP_BLOCK + 7]
+    df = spark.createDataFrame([(n, [(i * 7) % 13 for i in range(n)]) for n in sizes], "n int, xs array<int>")
+    for r in df.select("n", "xs", _sweep(F.col("xs"), F.lit(0), lambda at, x: (at + x, at * 2 + x), "int").alias("out")).collect():
+        at, want = 0, []
+        for x in r.xs:
+            want.append(at * 2 + x)
+            at += x
+        assert r.out == want
+
+
+def test_added_personal_data_never_overlaps(spark):
+    import random
+
+    from pit_engine.llm.pii import find_personal_data
+
+    rng = random.Random(4)
+    parts = ["a [at] b [dot] com ", "(212) 555-0147 ", "212-555-0147", "+1 212 555 0147 ", "4111 1111 1111 1112 ", "10[.]0[.]0[.]1", "x@y.zz ", "call ", "mail ", "10.0.0.1", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    added = 0
+    for r in find_personal_data(docs(spark, texts)).collect():
+        base, more = [tuple(s) for s in r.base], [tuple(s) for s in r.spans if s not in r.base]
+        added += len(more)
+        assert set(base) <= {tuple(s) for s in r.spans} and [tuple(s) for s in r.spans] == sorted((tuple(s) for s in r.spans), key=lambda s: (["email", "ip", "card", "phone"].index(s[0]), s[1]))
+        for k, s, e in more:
+            assert not any(s < e2 and s2 < e for k2, s2, e2 in base + more if (k2, s2, e2) != (k, s, e))
+    assert added > 100
+
+
 def test_every_match_has_its_kinds_sign():
     import random
 
@@ -106,21 +151,40 @@ def test_golay_tables():
     assert (index[:, 0] == own).all()
 
 
-def test_links_are_all_pairs_within_three_bits(spark):
+def components_of(n, pairs):
+    """The least member of each one's component, by union-find."""
+    up = list(range(n))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return [top(x) for x in range(n)]
+
+
+def test_fingerprint_components_are_those_of_all_pairs_within_three_bits(spark):
     import numpy as np
 
-    from pit_engine.llm.simhash import links
+    from pit_engine.llm.simhash import fingerprint_components
 
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**63), 2**63 - 1, 60, dtype=np.int64)
-    near = base.copy()
-    for k in range(60):
-        for b in rng.choice(64, k % 6, replace=False):
-            near[k] ^= np.int64(-(2**63)) if b == 63 else np.int64(1 << int(b))
-    every = np.unique(np.concatenate([base, near, [0, 7, -1]]))
-    got = {(r.a, r.b) for r in links(spark.createDataFrame([(int(x),) for x in every], "fp bigint")).collect()}
-    want = {(int(a), int(b)) for i, a in enumerate(every) for b in every[i + 1 :] if bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") <= 3}
-    assert got == want
+    flipped = lambda x, bits: int(np.bitwise_xor.reduce([x, *(np.int64(-(2**63)) if b == 63 else np.int64(1 << int(b)) for b in bits)]))
+    near = [flipped(x, rng.choice(64, k % 6, replace=False)) for k, x in enumerate(base)]
+    # A crowd in one bucket, and chains in which only neighbours are close.
+    crowd = [flipped(base[0], rng.choice(64, int(rng.integers(0, 4)), replace=False)) for _ in range(200)]
+    chain = [int(base[1])]
+    for _ in range(30):
+        chain.append(flipped(np.int64(chain[-1]), rng.choice(64, 3, replace=False)))
+    every = np.unique(np.array([*base, *near, *crowd, *chain, 0, 7, -1], np.int64)).tolist()
+    got = {r.node: r.root for r in fingerprint_components(spark.createDataFrame([(x,) for x in every], "fp bigint")).collect()}
+    close = [(i, j) for i in range(len(every)) for j in range(i) if bin((every[i] ^ every[j]) & (2**64 - 1)).count("1") <= 3]
+    want = components_of(len(every), close)
+    assert [got.get(x, x) for x in every] == [every[w] for w in want]
 
 
 def test_near_duplicate_components(spark):
@@ -163,6 +227,44 @@ def test_one_document_of_a_group_stays(spark):
     assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 5]
 
 
+def edited(rng, words, share):
+    return [f"n{rng.randrange(10**6)}" if rng.random() < share else w for w in words]
+
+
+def test_near_duplicate_stage_against_all_pairs(spark):
+    import random
+
+    from pit_engine.llm.simhash import drop_near_duplicates, shingle_set
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        texts += [" ".join(words)] + [" ".join(edited(rng, words, rng.choice([0.003, 0.01, 0.015, 0.05]))) for _ in range(rng.randrange(4))]
+    # A group of many copies of copies.
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts += [" ".join(edited(rng, words, 0.008)) for _ in range(150)]
+    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
+    similar = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+    want = components_of(len(texts), [p for p, x in similar.items() if x >= 0.8])
+    d = docs(spark, texts).withColumns({"_id": F.lit("mine"), "_TH": F.lit("too"), "n": F.lit(7)})
+    rows = drop_near_duplicates(d).collect()
+    kept = {r.doc_id for r in rows}
+    assert all(r._id == "mine" and r._TH == "too" and r.n == 7 for r in rows)
+    # Nothing goes that isn't linked, and of ten that should go nine go at least.
+    assert set(want) <= kept
+    assert len(kept) - len(set(want)) <= 0.1 * (len(texts) - len(set(want)))
+    assert all(sum(b == a for a in want) for b in set(want))
+
+
+def test_helper_names_are_free():
+    from types import SimpleNamespace
+
+    from pit_engine.llm.store import fresh_names
+
+    assert fresh_names(SimpleNamespace(columns=["_ID", "_id_", "x"]), "_id", "_th") == ["_id__", "_th"]
+
+
 # ------------------------------------------------------------------ packing
 
 
@@ -175,8 +277,7 @@ def test_packing_is_exact_and_tight(spark):
     from pit_engine.llm.packing import pack_documents
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [None, "", "a", "two  spaces and\ttabs \n\n x", " lead", "trail ", " odd   white  space", "don't we're I'LL 123 4.5, ¿qué? 日本語 😀", "<|endoftext|> is text", "word " * 6000, "same", "same", "x" * 9000]
+    texts = [None, "", "a", "two  spaces and\ttabs \n\n x", " lead", "trail ", " odd   white  space", "don't we're I'LL 123 4.5, ¿qué? 日本語 😀", "<|endoftext|> is a token", "a <|endoftext|> b<|endoftext|><|endoftext|>\n c", "word " * 6000, "same", "same", "x" * 9000]
     texts += [f"filler text number {i} " * (i % 90) for i in range(200)]
     pieces = pack_documents(docs(spark, texts)).collect()
     by, seqs = {}, {}
@@ -196,6 +297,10 @@ def test_packing_is_exact_and_tight(spark):
         padded += 0 if n & (n - 1) == 0 else 2048 - n
     assert padded == 0
     assert pack_documents(docs(spark, texts).limit(0)).count() == 0
+    t.encode_special_tokens = True
+    plain = pack_documents(docs(spark, ["a <|endoftext|> b"]), special_tokens={}).collect()
+    ids = t.encode("a <|endoftext|> b", add_special_tokens=False).ids + [1]
+    assert b"".join(bytes(p.ids) for p in sorted(plain, key=lambda p: p.start)) == struct.pack(f"<{len(ids)}I", *ids)
 
 
 def test_packing_balances_cost():
@@ -247,6 +352,59 @@ def test_repeated_rows_and_null_ids_in_line_dedup(spark):
     assert got == [(False, 2, passage), (False, 3, ""), (False, 3, ""), (True, 0, "more")]
 
 
+def later_repeats(texts, min_words=50):
+    """By text: the numbers of the lines with words that lie in a window which stands earlier, by comparing windows whole."""
+    seen, out = {}, {}
+    for i, text in enumerate(texts):
+        lines = [x.strip(" \t\r") for x in text.split("\n")]
+        full = [n for n, x in enumerate(lines) if x.split()]
+        words = [len(lines[n].split()) for n in full]
+        windows = set()
+        for k in range(len(full)):
+            for step in (1, -1):
+                end, count = k, words[k]
+                while count < min_words and 0 <= end + step < len(full):
+                    end += step
+                    count += words[end]
+                if count >= min_words:
+                    windows.add((min(k, end), max(k, end)))
+        out[i] = set()
+        for first, last in sorted(windows):
+            key = tuple(lines[full[first] : full[last] + 1])
+            if seen.setdefault(key, (i, first)) != (i, first):
+                out[i] |= set(full[first : last + 1])
+    return out
+
+
+def test_line_dedup_against_all_windows(spark):
+    import random
+
+    from pit_engine.llm.linededup import dedup_lines
+
+    rng = random.Random(12)
+    line = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 16)))
+    common = [line() for _ in range(6)]
+    runs = [[rng.choice(common) if rng.random() < 0.3 else line() for _ in range(rng.randrange(4, 14))] for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        body = []
+        for _ in range(rng.randrange(1, 6)):
+            pick = rng.random()
+            run = rng.choice(runs)
+            at = rng.randrange(len(run))
+            body += run if pick < 0.4 else run[at:] if pick < 0.6 else [rng.choice(common)] if pick < 0.8 else [line(), ""] * 3
+        texts.append("\n".join(body))
+    want = later_repeats(texts)
+    rows = dedup_lines(docs(spark, texts).withColumns({"_id": F.lit("mine"), "_dropped": F.lit("own"), "k": F.lit(0), "h": F.lit(1)}))
+    deleted = 0
+    for r in rows.collect():
+        gone = {n for n in r[len(rows.columns) - 1] or () if texts[r.doc_id].split("\n")[n].split()}
+        assert gone == want[r.doc_id], r.doc_id
+        assert (r._id, r._dropped, r.k, r.h) == ("mine", "own", 0, 1)
+        deleted += len(gone)
+    assert deleted > 300 and any(set(range(len(t.split("\n")))) - want[i] for i, t in enumerate(texts))
+
+
 def test_every_long_repeated_line_is_found_in_a_hot_table(spark):
     from pit_engine.llm.linededup import dedup_lines
 
@@ -409,7 +567,7 @@ def test_languages_and_mixed_texts(spark):
     de = "der schnelle braune fuchs springt über den faulen hund und danach gab es nichts mehr dazu zu sagen"
     ru = "быстрая коричневая лиса прыгает через ленивую собаку и потом больше нечего было сказать об этом"
     rows = [(i, " ".join(t.split()[(i * 3) % 7 :]), lang, "s", 1) for i in range(240) for t, lang in [((en, "en"), (de, "de"), (ru, "ru"))[i % 3]]]
-    odd = [(1000, None, "en", "s", 1), (1001, "", "en", "s", 1), (1002, "12 34 !!", "de", "s", 1), (1003, en + " " + de + " " + de, None, "s", 1), (1004, "ελληνικά γράμματα", None, "s", 1), (None, en, None, "s", 1), (1005, en, None, "s", 1), (1005, en, None, "s", 1)]
+    odd = [(1000, None, "en", "s", 1), (1001, "", "en", "s", 1), (1002, "12 34 !!", "de", "s", 1), (1003, en + " " + de + " " + de, None, "s", 1), (1004, "ελληνικά γράμματα", None, "s", 1), (None, en, None, "s", 1), (1005, en, None, "s", 1), (1005, en, None, "s", 1), (1006, "½ ² ① Ⅷ", None, "s", 1), (1007, "x" * 32 + "schnellebraunefuchsspringtüberdenfaulenhund" * 2000 + "x" * 32, None, "s", 1)]
     d = spark.createDataFrame(rows + odd, SCHEMA)
     model = learn(d)
     got = [(r.doc_id, r) for r in identify(d, model).collect()]
@@ -417,7 +575,8 @@ def test_languages_and_mixed_texts(spark):
     lang = dict(got)
     right = [lang[i].lang_pred == x for i, _, x, *_ in rows]
     assert sum(right) / len(right) > 0.98
-    assert [lang[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and lang[1000].score == 0
+    assert [lang[i].lang_pred for i in (1000, 1001, 1002, 1006)] == ["und"] * 4 and lang[1000].score == 0
+    assert lang[1007].lang_pred == "de"
     assert lang[1003].lang_pred == "de" and [s.lang for s in lang[1003].spans] == ["en", "de"] and 0.5 < lang[1003].score < 0.8
     assert lang[1004].lang_pred in ("de", "en", "ru") and lang[None].lang_pred == "en"
     kept = keep_identified(d, model)
@@ -476,6 +635,29 @@ def test_novel_strings_are_reported_and_known_ones_are_not(spark):
     assert all(k == "novel" for k, *_ in got[4])
 
 
+def test_secrets_of_long_texts_take_time_in_proportion():
+    import random
+    import time
+
+    from pit_engine.llm.secrets import KINDS, Novelty, added_spans, base_spans
+
+    novelty, key = Novelty(), "Zx9qLm3Kp8Wv2Rt5Yb7Nc4Hd6Jf1Gs0A"
+    for text in ("token " * 200_000, "token=" * 200_000, "token secret_1 " * 100_000, "api_key='abcdef' " * 60_000, "token " * 200_000 + key):
+        began = time.perf_counter()
+        base = base_spans(text)
+        added = added_spans(text, base, novelty)
+        assert time.perf_counter() - began < 20, text[:20]
+        assert [text[a:b] for a, b, _ in added] == ([key] if text.endswith(key) else [])
+    # The spans of the sweep are those of a comparison with every base span.
+    letters, rng = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])), random.Random(8)
+    fresh = lambda: "".join(rng.choices(letters, k=32))
+    text = " ".join(f"secret: 'abc{i:03d}def' bearer {fresh()} {'0123456789abcdef' * 2} signing key {fresh()}" for i in range(50))
+    base = base_spans(text)
+    added = added_spans(text, base, novelty)
+    assert added and not any(s < e2 and s2 < e for s, e, _ in added for s2, e2, _ in base)
+    assert len({KINDS.index(k) for *_, k in base + added}) == 3
+
+
 def test_random_secrets_of_any_length_and_alphabet_are_reported():
     import random
     import string
@@ -495,6 +677,76 @@ def test_random_secrets_of_any_length_and_alphabet_are_reported():
     assert not [x for x in names if added_spans(f"the signing key {x} is here", [], novelty)]
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def small(spark, name):
+    return spark.read.parquet(f"{SMALL}/{name}.parquet")
+
+
+def test_stages_against_brute_force_on_the_small_tables(spark):
+    import numpy as np
+
+    import corpus_pipeline
+    from pit_engine.llm.decontam import MIN_ITEM_WORDS, edit_search, find_leaks, words_of
+    from pit_engine.llm.simhash import shingle_set
+
+    d = small(spark, "documents").orderBy("doc_id").collect()
+    texts, ids = [r.text or "" for r in d], [r.doc_id for r in d]
+    # Line dedup: what lines with words are left.
+    gone = later_repeats(texts)
+    want = {i: [x for n, x in enumerate(t.split("\n")) if x.split() and n not in gone[k]] for k, (i, t) in enumerate(zip(ids, texts, strict=True))}
+    got = {r.doc_id: [x for x in (r.text or "").split("\n") if x.split()] for r in corpus_pipeline.line_dedup(spark, small(spark, "documents"), SMALL).collect()}
+    assert got == want
+    # Near duplicates: one of each group of all pairs that are similar.
+    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = components_of(len(texts), pairs)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, small(spark, "documents"), SMALL).collect()}
+    should = {ids[r] for r in roots}
+    assert should <= kept and len(kept) - len(should) <= 0.1 * (len(ids) - len(should))
+    # Leaks: every item against every text.
+    numbers = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int64) for t in texts]
+    items = [(r.item_id, [numbers.setdefault(w, len(numbers)) for w in words_of(r.text)]) for r in small(spark, "benchmark").collect()]
+    leaks = set()
+    for i, words in zip(ids, coded, strict=True):
+        has = set(words.tolist())
+        for item_id, item in items:
+            most = len(item) // 5 if len(item) >= MIN_ITEM_WORDS else 0
+            if item and sum(w in has for w in item) >= len(item) - most and (hit := edit_search(item, words, most)):
+                leaks.add((i, item_id, hit[0]))
+    found = find_leaks(small(spark, "documents"), small(spark, "benchmark")).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == leaks and leaks
+    clean = {r.doc_id for r in corpus_pipeline.decontaminate(spark, small(spark, "documents"), SMALL).collect()}
+    assert clean == set(ids) - {i for i, *_ in leaks}
+
+
+def test_registered_queries_over_documents(spark):
+    from pit_engine.llm.queries import QUERIES
+
+    d = {r.doc_id: r for r in small(spark, "documents").collect()}
+    for name in ("op1_pii", "op2_simhash", "op5_linededup", "op7_secrets", "op9_langid"):
+        got = QUERIES[name](spark, SMALL).collect()
+        assert sorted(r.doc_id for r in got) == sorted(d), name
+        if name == "op2_simhash":
+            from pit_engine.llm.simhash import fingerprint
+
+            ids = sorted(d)
+            fps = [fingerprint(d[i].text, 3) & (2**64 - 1) for i in ids]
+            roots = components_of(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3])
+            assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{f:016x}", ids[r]) for i, f, r in zip(ids, fps, roots, strict=True)}
+        if name == "op9_langid":
+            out = [r.lang_pred == d[r.doc_id].lang for r in got if r.held_out and d[r.doc_id].lang and d[r.doc_id].text]
+            assert sum(out) > 0.9 * len(out)
+    packed = Counter()
+    for r in QUERIES["op3_packing"](spark, SMALL).collect():
+        packed[r.doc_id] += r.length
+        assert r.offset + r.length <= 2048
+    assert set(packed) == set(d)
+    assert {r.doc_id for r in QUERIES["op8_decontam"](spark, SMALL).collect()} <= set(d)
+
+
 @pytest.mark.parametrize("rows", [1, 0])
 def test_pipeline_stages_keep_columns(spark, tmp_path, rows):
     import corpus_pipeline
