@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later repeated runs of lines out of the texts."""
     from pit_engine.llm.linededup import dedup_lines
 
-    cut = F.col("_dropped").isNotNull()
     done = dedup_lines(docs)
+    cut = F.col(done.columns[-1]).isNotNull()
     n_chars = F.when(cut, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n_chars).select(*docs.columns)
 
