@@ -50,7 +50,7 @@ def simulate(targets: DataFrame, returns: DataFrame, costs: DataFrame | float) -
     d = drift_weights(targets, returns)
     own = Window.partitionBy("method", "ticker").orderBy("period")
     rate = F.lit(costs) if isinstance(costs, float) else F.col("cost_rate")
-    d = d if isinstance(costs, float) else d.join(F.broadcast(costs), "ticker")
+    d = d if isinstance(costs, float) else d.join(costs, "ticker")
     trade = F.abs(F.col("target_weight") - F.coalesce(F.lag("drifted").over(own), F.lit(0.0)))
     d = d.withColumns({"_trade": trade, "_rate": rate})
     p = d.groupBy("method", "period", "start_date", "end_date").agg(
@@ -116,12 +116,12 @@ def shrunk_regime_means(labelled: DataFrame, kappa: float) -> DataFrame:
     """Per regime and ticker the mean shrunk towards the pooled mean by kappa observations."""
     pooled = labelled.groupBy("ticker").agg(F.avg("ret").alias("pooled_mean"))
     own = labelled.groupBy("regime_id", "ticker").agg(F.count("ret").alias("n"), F.avg("ret").alias("own_mean"))
-    return own.join(F.broadcast(pooled), "ticker").withColumn("shrunk_mean", (F.col("n") * F.col("own_mean") + kappa * F.col("pooled_mean")) / (F.col("n") + kappa))
+    return own.join(pooled, "ticker").withColumn("shrunk_mean", (F.col("n") * F.col("own_mean") + kappa * F.col("pooled_mean")) / (F.col("n") + kappa))
 
 
 def mixture_moments(means: DataFrame, posterior: DataFrame) -> DataFrame:
     """Posterior mean per ticker and its between-regime variance."""
-    m = means.join(F.broadcast(posterior), "regime_id").withColumn("w", F.col("p"))
+    m = means.join(posterior, "regime_id").withColumn("w", F.col("p"))
     total = m.groupBy("ticker").agg(F.sum(F.col("w") * F.col("shrunk_mean")).alias("mixture_mean"), F.sum(F.col("w") * F.col("shrunk_mean") * F.col("shrunk_mean")).alias("_s"))
     return total.select("ticker", "mixture_mean", (F.col("_s") - F.col("mixture_mean") * F.col("mixture_mean")).alias("between_variance"))
 
@@ -151,7 +151,7 @@ def concentration(targets: DataFrame) -> DataFrame:
 
 def feasibility(weights: DataFrame, caps: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """Per method and period: sum, least weight, worst cap excess, and whether all constraints hold."""
-    w = weights.join(F.broadcast(caps), "ticker")
+    w = weights.join(caps, "ticker")
     a = w.groupBy("method", "period").agg(F.sum("target_weight").alias("weight_sum"), F.min("target_weight").alias("least_weight"), F.max(F.col("target_weight") - F.col("cap")).alias("worst_excess"))
     ok = (F.abs(F.col("weight_sum") - 1) <= tolerance) & (F.col("least_weight") >= -tolerance) & (F.col("worst_excess") <= tolerance)
     return a.withColumn("feasible", ok)

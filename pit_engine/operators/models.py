@@ -101,34 +101,44 @@ def robust_var(pairs: DataFrame, estimators: dict[str, float]) -> DataFrame:
     return rows.groupBy("estimator", "tuning").applyInPandas(fit, "estimator string, n bigint, converged boolean, coefficients array<double>, scale array<double>, least_weight double")
 
 
-def rolling_origin_scores(table: DataFrame, by: list[str], date: str, response: str, states: list[str], lambdas: list[float], minimum: int) -> DataFrame:
-    """Mean predictive log loss of a ridge emission at each penalty: fits see earlier dates only.
+def rolling_origin_residuals(table: DataFrame, by: list[str], date: str, response: str, states: list[str], lambdas: list[float], minimum: int) -> DataFrame:
+    """Out-of-sample residuals of a ridge emission at each penalty: fits see earlier dates only.
 
-    One group for each (model, penalty): fits are independent, and rows of one
-    date are held out together.
+    Columns: by, lambda, date, n (rows the fit saw), prediction, residual,
+    variance and loss (the predictive log loss). One group for each (model,
+    penalty); rows of one date are held out together. A fit needs the sums of
+    products of all earlier rows, and those grow by one date's rows at a time.
     """
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([date]).reset_index(drop=True)
         x = np.column_stack([np.ones(len(pdf)), pdf[states].to_numpy(float)])
-        y = pdf[[response]].to_numpy(float)
-        penalty = np.array([0.0] + [key[-1]] * len(states))
-        losses = []
+        y = pdf[response].to_numpy(float)
+        penalty = np.diag([0.0] + [key[-1]] * len(states))
+        xx, xy, yy, n = np.zeros((x.shape[1],) * 2), np.zeros(x.shape[1]), 0.0, 0
+        out = []
         for d, rows in pdf.groupby(date, sort=True).groups.items():
-            past = (pdf[date] < d).to_numpy()
-            if past.sum() < minimum:
-                continue
-            b = N.ridge(y[past], x[past], penalty)
-            v = max(float(((y[past] - x[past] @ b) ** 2).mean()), 1e-12)
-            e = y[rows] - x[rows] @ b
-            losses += (0.5 * (np.log(2 * np.pi * v) + e[:, 0] ** 2 / v)).tolist()
-        return pd.DataFrame([[*key, len(losses), float(np.mean(losses)) if losses else None]], columns=[*by, "lambda", "n", "mean_loss"])
+            u, v = x[rows], y[rows]
+            if n >= minimum:
+                b = np.linalg.lstsq(xx + penalty, xy, rcond=None)[0]
+                variance = max(float((yy - 2 * b @ xy + b @ xx @ b) / n), 1e-12)
+                for a, e in zip(u @ b, v - u @ b, strict=True):
+                    out.append((*key, d, n, float(a), float(e), variance, float(0.5 * (np.log(2 * np.pi * variance) + e * e / variance))))
+            xx, xy, yy, n = xx + u.T @ u, xy + u.T @ v, yy + v @ v, n + len(rows)
+        return pd.DataFrame(out, columns=[*by, "lambda", date, "n", "prediction", "residual", "variance", "loss"])
 
     rows = table.select(*by, date, response, *states, F.explode(F.array(*(F.lit(float(v)) for v in lambdas))).alias("lambda")).dropna()
-    schema = ", ".join(f"{c} {dict(table.dtypes)[c]}" for c in by) + ", lambda double, n bigint, mean_loss double"
+    kinds = dict(table.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", lambda double, {date} {kinds[date]}, n bigint, prediction double, residual double, variance double, loss double"
     return rows.groupBy(*by, "lambda").applyInPandas(score, schema)
 
 
+def rolling_origin_scores(table: DataFrame, by: list[str], date: str, response: str, states: list[str], lambdas: list[float], minimum: int) -> DataFrame:
+    """Mean predictive log loss of a ridge emission at each penalty."""
+    e = rolling_origin_residuals(table, by, date, response, states, lambdas, minimum)
+    return e.groupBy(*by, "lambda").agg(F.count("loss").alias("n"), F.avg("loss").alias("mean_loss"))
+
+
 def choose_lambda(scores: DataFrame, by: list[str]) -> DataFrame:
     """The penalty of least loss; ties go to the larger one."""
     best = F.max_by(F.struct("lambda", "mean_loss", "n"), F.struct(-F.col("mean_loss"), F.col("lambda")))

@@ -34,7 +34,7 @@ def transition_matrix(pairs: DataFrame, cutoffs: DataFrame, alpha: float = 0.5)
     availability first, so what meets the cutoffs is one row per cell and date.
     """
     daily = pairs.groupBy("source", "destination", "available_at").agg(F.count("*").alias("n"))
-    known = daily.join(F.broadcast(cutoffs), F.col("available_at") <= F.col("cutoff")).groupBy("cutoff", "source", "destination").agg(F.sum("n").alias("n"))
+    known = daily.join(cutoffs, F.col("available_at") <= F.col("cutoff")).groupBy("cutoff", "source", "destination").agg(F.sum("n").alias("n"))
     states = F.array(*(F.lit(r) for r in REGIMES))
     grid = cutoffs.select("cutoff", F.explode(states).alias("source")).select("cutoff", "source", F.explode(states).alias("destination"))
     full = grid.join(known, ["cutoff", "source", "destination"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -152,3 +152,31 @@ def var1_solution(sums: DataFrame, keys: list[str]) -> DataFrame:
     dof = F.col("s_1_1") - 3
     resid = lambda u, v: (F.col(f"s_{u}_{v}") - sum((F.col(f"{u}_{k}") * F.col(f"s_{s}_{v}") for k, s in (("const", "1"), ("x1", "x1"), ("x2", "x2"))), F.lit(0.0))) / dof
     return fit.select(*keys, F.col("s_1_1").cast("bigint").alias("n"), *out, resid("y1", "y1").alias("q11"), resid("y1", "y2").alias("q12"), resid("y2", "y2").alias("q22"))
+
+
+def causal_var1(pairs: DataFrame, targets: DataFrame, minimum: int) -> DataFrame:
+    """A VAR(1) fit for each target month: month, n, status and the fit's columns (NULL below ``minimum`` pairs).
+
+    pairs: month (of the source), x1, x2, y1, y2, pair_available_at. targets:
+    month, cutoff. A pair counts if its successor is not after the target month
+    *and* it was available by the cutoff: order in calendar time alone would
+    look ahead wherever a release is late. Both sides are calendars of months;
+    products are summed before anything is solved.
+    """
+    p = pairs.select("x1", "x2", "y1", "y2", F.add_months("month", 1).alias("_next"), "pair_available_at")
+    known = targets.join(p, (F.col("_next") <= F.col("month")) & (F.col("pair_available_at") <= F.col("cutoff")))
+    fit = var1_solution(var1_normal_equations(known, ["month"]), ["month"])
+    enough = F.col("n") >= minimum
+    return fit.select("month", "n", F.when(enough, "available").otherwise("insufficient_pairs").alias("status"), *(F.when(enough, F.col(c)).alias(c) for c in fit.columns if c not in ("month", "n")))
+
+
+def propagate_var1(rows: DataFrame, gg: float, gi: float, ii: float) -> DataFrame:
+    """month, next month's mean and covariance given an exact score (x1, x2), and the covariance at readout.
+
+    gg, gi, ii: covariance of the map from scores to regimes. It is added for
+    the readout only and never enters the state that is carried on.
+    """
+    mean = lambda y: F.col(f"{y}_const") + F.col(f"{y}_x1") * F.col("x1") + F.col(f"{y}_x2") * F.col("x2")
+    state = rows.select("month", mean("y1").alias("growth_mean"), mean("y2").alias("inflation_mean"), F.col("q11").alias("growth_variance"), F.col("q12").alias("covariance"), F.col("q22").alias("inflation_variance"))
+    readout = {"readout_growth_variance": F.col("growth_variance") + gg, "readout_covariance": F.col("covariance") + gi, "readout_inflation_variance": F.col("inflation_variance") + ii}
+    return state.withColumns(readout)

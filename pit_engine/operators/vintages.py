@@ -18,8 +18,10 @@ KEY = ["series_id", "reference_date"]
 def densify(increments: DataFrame) -> DataFrame:
     """A cumulative archive from increments: each cell after the first release carries the level."""
     first = increments.groupBy(*KEY).agg(F.min("vintage_date").alias("_first"))
-    snapshots = increments.select("series_id", "vintage_date").distinct()
-    grid = first.join(snapshots, "series_id").where(F.col("vintage_date") >= F.col("_first")).drop("_first")
+    # A series' snapshots are a calendar; every reference unfolds the part of it from its own first release on.
+    calendars = increments.groupBy("series_id").agg(F.sort_array(F.collect_set("vintage_date")).alias("_all"))
+    later = F.slice("_all", F.array_position("_all", F.col("_first")).cast("int"), F.size("_all"))
+    grid = first.join(calendars, "series_id").select(*KEY, F.explode(later).alias("vintage_date"))
     running = Window.partitionBy(*KEY).orderBy("vintage_date").rowsBetween(Window.unboundedPreceding, 0)
     cells = grid.join(increments, [*KEY, "vintage_date"], "left")
     return cells.select(*KEY, "vintage_date", F.sum(F.coalesce("value", F.lit(0))).over(running).alias("value"))
@@ -192,6 +194,16 @@ def freshness(df: DataFrame, family: str, date: str, as_of: Column, most_days: i
     return out.select("family", "latest", "n_rows", age.alias("age_days"), F.when(age <= most_days, "fresh").otherwise("stale").alias("status"))
 
 
+def expected_missing(all_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(series, reference) cells of the full calendar of ``all_rows`` that ``found`` lacks.
+
+    The calendar, the distinct references, is one array; each series unfolds it.
+    """
+    months = all_rows.agg(F.collect_set("reference_date").alias("m")).scalar()
+    expected = all_rows.select("series_id").distinct().select("series_id", F.explode(months).alias("reference_date"))
+    return expected.join(found.select(*KEY), KEY, "left_anti")
+
+
 def assert_cutoff(df: DataFrame, columns: list[str], cutoff: Column) -> DataFrame:
     """The rows; the query fails if one is later than the cutoff. Nothing is trimmed."""
     ok = F.lit(True)
@@ -203,13 +215,18 @@ def assert_cutoff(df: DataFrame, columns: list[str], cutoff: Column) -> DataFram
 def monthly_average_control(events: DataFrame, observations: DataFrame) -> DataFrame:
     """Per event the mean of the same month's observations that were public by the event's release.
 
-    events: event_id, reference_date, release_date. observations: reference_date,
-    available_at, value. Same-month equality keys the join; the time condition
-    filters within it.
+    events: event_id, reference_date, release_date (dates). observations:
+    reference_date, available_at (a date), value. Both sides are reduced to days
+    of a month before they meet: running sums on the days of publication, one
+    lookup for each day of release. Events without an observation are left out.
     """
-    months = observations.select(F.trunc("reference_date", "month").alias("_m"), "available_at", "value")
-    rows = events.withColumn("_m", F.trunc("reference_date", "month")).join(months, "_m")
-    return rows.where("available_at <= release_date").groupBy("event_id").agg(F.count("value").alias("n_observations"), F.avg("value").alias("control_value"))
+    days = observations.groupBy(F.trunc("reference_date", "month").alias("_m"), F.col("available_at").alias("_d")).agg(F.count("value").alias("_n"), F.sum("value").alias("_s"))
+    rows = events.withColumn("_m", F.trunc("reference_date", "month"))
+    asked = rows.select("_m", F.col("release_date").alias("_d")).distinct().withColumn("_ask", F.lit(True))
+    so_far = Window.partitionBy("_m").orderBy("_d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = days.join(asked, ["_m", "_d"], "full").withColumns({"n_observations": F.sum("_n").over(so_far), "_s": F.sum("_s").over(so_far)})
+    known = both.where("_ask and n_observations > 0").select("_m", F.col("_d").alias("release_date"), "n_observations", (F.col("_s") / F.col("n_observations")).alias("control_value"))
+    return rows.join(known, ["_m", "release_date"]).select("event_id", "n_observations", "control_value")
 
 
 def paired_release(events: DataFrame, control: DataFrame, days: int = 7) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Machine epsilon of a double.
+EPSILON = 2.220446049250313e-16
+
 
 def lagged_expanding_moments(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """prior_n, prior_mean, prior_std (sample) over all earlier rows of the key."""
@@ -35,16 +38,20 @@ def group_causal_ar1(df: DataFrame, keys: list[str], reference: str, release: st
 
     A pair (previous, current) enters the fit when the current value is
     published. Slope and intercept come from running sums over a RANGE frame,
-    so each row costs what the frame's update costs, not a fit of its own.
+    so each row costs what the frame's update costs, not a fit of its own. A
+    history whose variation is rounding noise, machine epsilon times its sum of
+    squares, doesn't identify a slope.
     """
     own = Window.partitionBy(*keys).orderBy(reference)
     y = df.withColumn("y", F.when(F.col(level) > 0, F.ln(level))).withColumn("y_prev", F.lag("y").over(own))
     past = Window.partitionBy(*keys).orderBy(F.unix_date(release)).rangeBetween(Window.unboundedPreceding, -1)
     pair = F.col("y").isNotNull() & F.col("y_prev").isNotNull()
+    squares = F.sum(F.when(pair, F.col("y_prev") * F.col("y_prev"))).over(past)
+    varies = F.regr_sxx("y", "y_prev").over(past) > EPSILON * F.greatest(F.lit(1.0), squares)
     fit = y.withColumns({
         "ar_n": F.count(F.when(pair, 1)).over(past),
-        "ar_slope": F.when(F.regr_sxx("y", "y_prev").over(past) > 1e-12, F.regr_slope("y", "y_prev").over(past)),
-        "ar_intercept": F.when(F.regr_sxx("y", "y_prev").over(past) > 1e-12, F.regr_intercept("y", "y_prev").over(past)),
+        "ar_slope": F.when(varies, F.regr_slope("y", "y_prev").over(past)),
+        "ar_intercept": F.when(varies, F.regr_intercept("y", "y_prev").over(past)),
     })
     forecast = F.col("ar_intercept") + F.col("ar_slope") * F.col("y_prev")
     e = fit.withColumn("innovation", F.when(F.col("ar_n") >= min_history, F.col("y") - forecast))
@@ -95,12 +102,19 @@ def successor_pairs(df: DataFrame, keys: list[str], month: str, values: list[str
 
 
 def total_returns(prices: DataFrame, keys: list[str], date: str, close: str, cash: str, split: str) -> DataFrame:
-    """Daily total return, its index (first day 1) and the cumulative split factor."""
+    """Daily total return, its index (first day 1), the split factor still to come and split-adjusted closes.
+
+    The factor of a day is the product of all later splits: a close divided by
+    it is comparable to the last one.
+    """
     own = Window.partitionBy(*keys).orderBy(date)
     r = (F.col(close) * F.coalesce(F.col(split), F.lit(1.0)) + F.coalesce(F.col(cash), F.lit(0.0))) / F.lag(close).over(own) - 1
     out = prices.withColumn("total_return", r)
     running = own.rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("total_return_index", F.exp(F.sum(F.ln(1 + F.coalesce("total_return", F.lit(0.0)))).over(running)))
+    later = own.rowsBetween(1, Window.unboundedFollowing)
+    factor = F.exp(F.coalesce(F.sum(F.ln(F.coalesce(F.col(split), F.lit(1.0)))).over(later), F.lit(0.0)))
+    out = out.withColumn("total_return_index", F.exp(F.sum(F.ln(1 + F.coalesce("total_return", F.lit(0.0)))).over(running)))
+    return out.withColumn("split_factor", factor).withColumn("split_adjusted_close", F.col(close) / F.col("split_factor"))
 
 
 def complete_case_returns(prices: DataFrame, ticker: str, date: str, close: str, n: int) -> DataFrame:

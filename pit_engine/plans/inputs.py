@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pit_engine.operators import vintages as V
 
 
+#: Tables that ``shared`` keeps.
+_kept: list[DataFrame] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,9 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared(df: DataFrame) -> DataFrame:
     """A small derived table that a query reads several times: computed once, by lineage again if lost.
 
-    Only for results bounded by the calendar (series x months x vintages), never for rows of data.
+    Only for results bounded by the calendar (series x months x vintages), never
+    for rows of data. ``release`` frees them.
     """
-    return df.persist()
+    kept = df.persist()
+    _kept.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Forget all derived tables that queries have kept so far."""
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def cents(c: str):

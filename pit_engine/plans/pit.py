@@ -157,23 +157,21 @@ SELECT series_id, reference_date FROM e EXCEPT SELECT series_id, reference_date
 def expected_missing(spark, sf_dir):
     a = archive(spark, sf_dir)
     f = V.first_release_features(a)
-    months, series = f.select("reference_date").distinct(), [r[0] for r in f.select("series_id").distinct().collect()]
-    expected = months.select(F.explode(F.array(*(F.lit(s) for s in series))).alias("series_id"), "reference_date")
-    return expected.join(f.where("status = 'available'"), ["series_id", "reference_date"], "left_anti")
+    return V.expected_missing(f, f.where("status = 'available'"))
 
 
 _OBS = """ev AS (SELECT event_id, CAST(ts AS DATE) AS d, ts, user_id, event_type, value FROM events)"""
 
 
-@query(f"""WITH {_OBS} SELECT p.event_id, count(o.value) AS n_observations, round(avg(CAST(round(o.value * 100) AS BIGINT)), 4) AS control_value
-FROM ev p JOIN ev o ON o.event_type = 'view' AND date_trunc('month', o.ts) = date_trunc('month', p.ts) AND o.d <= p.d WHERE p.event_type = 'purchase' AND p.event_id % 20 = 0 GROUP BY p.event_id""")
+@query(f"""WITH {_OBS}, day AS (SELECT date_trunc('month', d) AS m, d, count(value) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS c FROM ev WHERE event_type = 'view' GROUP BY ALL),
+asked AS (SELECT DISTINCT date_trunc('month', d) AS m, d FROM ev WHERE event_type = 'purchase'),
+known AS (SELECT a.m, a.d, sum(n) AS n, sum(c) AS c FROM asked a JOIN day ON day.m = a.m AND day.d <= a.d GROUP BY ALL)
+SELECT event_id, CAST(n AS BIGINT) AS n_observations, round(CAST(c AS DOUBLE) / CAST(n AS DOUBLE), 4) AS control_value FROM ev JOIN known USING (d) WHERE event_type = 'purchase'""")
 def rate_control_avg(spark, sf_dir):
-    # Daily sums stand for the observations, so the time condition meets at most 31 rows a month.
     e = table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
-    p = e.where("event_type = 'purchase' and event_id % 20 = 0").select("event_id", F.trunc("d", "month").alias("m"), "d")
-    o = e.where("event_type = 'view'").groupBy(F.trunc("d", "month").alias("m"), F.col("d").alias("od")).agg(F.count("value").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("c"))
-    both = p.join(o, "m").where("od <= d").groupBy("event_id").agg(F.sum("n").alias("n_observations"), F.sum("c").alias("c"))
-    return both.select("event_id", "n_observations", F.round(F.col("c").cast("double") / F.col("n_observations"), 4).alias("control_value"))
+    p = e.where("event_type = 'purchase'").select("event_id", F.col("d").alias("reference_date"), F.col("d").alias("release_date"))
+    o = e.where("event_type = 'view'").select(F.col("d").alias("reference_date"), F.col("d").alias("available_at"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
+    return V.monthly_average_control(p, o).withColumn("control_value", F.round("control_value", 4))
 
 
 @query(f"""WITH {_OBS}, day AS (SELECT event_type, d, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value FROM ev GROUP BY ALL)
@@ -239,11 +237,7 @@ def anti_join(spark, sf_dir):
 
 @query("SELECT a.r_name AS left_name, b.r_name AS right_name FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
 def unordered_pairs(spark, sf_dir):
-    r = table(spark, sf_dir, "region")
-    # A dimension of a few rows: the list of later names is exploded, no pair join is needed.
-    names = r.agg(F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("all"))
-    pairs = names.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
-    return pairs.select(F.col("a.r_name").alias("left_name"), F.col("b.r_name").alias("right_name"))
+    return A.unordered_pairs(table(spark, sf_dir, "region"), "r_regionkey", ["r_name"]).select(F.col("left_r_name").alias("left_name"), F.col("right_r_name").alias("right_name"))
 
 
 @query(f"""WITH {ARCHIVE}, l AS (SELECT * FROM first WHERE series_id = 'A'), r AS (SELECT * FROM first WHERE series_id = 'R')

@@ -140,19 +140,34 @@ def var1_ols(spark, sf_dir):
     return v.select("n", *(F.round(c, 6).alias(c) for c in v.columns if c != "n"))
 
 
-@query(f"""{_VAR}, t AS (SELECT month AS target, available_at AS cutoff FROM scores WHERE growth_score IS NOT NULL AND inflation_score IS NOT NULL),
-w AS (SELECT target, count(*) AS n, covar_samp(y1, x1) AS c1, var_samp(x1) AS v1 FROM t JOIN (SELECT u.*, CAST(nm + INTERVAL 1 MONTH + INTERVAL 14 DAY AS DATE) AS av FROM u) p ON p.nm <= target AND p.av <= cutoff GROUP BY target)
-SELECT target AS month, n, CASE WHEN n < 24 THEN 'insufficient_pairs' ELSE 'available' END AS status, round(CASE WHEN n >= 24 THEN c1 / v1 END, 6) AS growth_persistence FROM w""")
+_FIT = """m AS (SELECT *, avg(x1) OVER w AS m1, avg(x2) OVER w AS m2, avg(y1) OVER w AS n1, avg(y2) OVER w AS n2 FROM known WINDOW w AS (PARTITION BY target)),
+s AS (SELECT target, count(*) AS n, any_value(m1) AS m1, any_value(m2) AS m2, any_value(n1) AS n1, any_value(n2) AS n2, sum((x1-m1)*(x1-m1)) AS a, sum((x1-m1)*(x2-m2)) AS b, sum((x2-m2)*(x2-m2)) AS d,
+  sum((x1-m1)*(y1-n1)) AS p1, sum((x2-m2)*(y1-n1)) AS q1, sum((x1-m1)*(y2-n2)) AS p2, sum((x2-m2)*(y2-n2)) AS q2, sum((y1-n1)*(y1-n1)) AS e11, sum((y1-n1)*(y2-n2)) AS e12, sum((y2-n2)*(y2-n2)) AS e22 FROM m GROUP BY target),
+c AS (SELECT *, (d*p1-b*q1)/(a*d-b*b) AS y1_x1, (a*q1-b*p1)/(a*d-b*b) AS y1_x2, (d*p2-b*q2)/(a*d-b*b) AS y2_x1, (a*q2-b*p2)/(a*d-b*b) AS y2_x2 FROM s WHERE n >= 24),
+fit AS (SELECT target, n, n1-y1_x1*m1-y1_x2*m2 AS y1_const, y1_x1, y1_x2, n2-y2_x1*m1-y2_x2*m2 AS y2_const, y2_x1, y2_x2, (e11-y1_x1*p1-y1_x2*q1)/(n-3) AS q11, (e12-y1_x1*p2-y1_x2*q2)/(n-3) AS q12, (e22-y2_x1*p2-y2_x2*q2)/(n-3) AS q22 FROM c)"""
+_HISTORY = f"""{_VAR}, t AS (SELECT month AS target, available_at AS cutoff FROM scores WHERE growth_score IS NOT NULL AND inflation_score IS NOT NULL),
+known AS (SELECT target, u.* FROM t JOIN (SELECT u.*, CAST(nm + INTERVAL 1 MONTH + INTERVAL 14 DAY AS DATE) AS av FROM u) u ON nm <= target AND av <= cutoff), {_FIT}"""
+_COEFFICIENTS = ["y1_const", "y1_x1", "y1_x2", "y2_const", "y2_x1", "y2_x2", "q11", "q12", "q22"]
+
+
+def causal_fits(spark, sf_dir):
+    t = scores(spark, sf_dir).where("growth_score is not null and inflation_score is not null").select("month", F.col("available_at").alias("cutoff"))
+    return G.causal_var1(var_input(spark, sf_dir), t, 24)
+
+
+@query(f"""{_HISTORY} SELECT s.target AS month, s.n, CASE WHEN s.n < 24 THEN 'insufficient_pairs' ELSE 'available' END AS status, {', '.join(f'round({c}, 6) AS {c}' for c in _COEFFICIENTS)} FROM s LEFT JOIN fit USING (target)""")
 def causal_var_history(spark, sf_dir):
-    """Growth persistence from the pairs known at each month: one running window, no fit per month."""
-    from pyspark.sql import Window
+    """A VAR(1) for each month, fitted on the pairs that were known when its own score was."""
+    return causal_fits(spark, sf_dir).select("month", "n", "status", *(F.round(c, 6).alias(c) for c in _COEFFICIENTS))
+
 
-    past = Window.partitionBy("k").orderBy("nm").rowsBetween(Window.unboundedPreceding, 0)
-    p = var_input(spark, sf_dir).withColumn("nm", F.add_months("month", 1)).drop("month")
-    t = scores(spark, sf_dir).where("growth_score is not null and inflation_score is not null").select(F.col("month").alias("nm"), F.lit(1).alias("k"))
-    run = t.join(p, "nm", "left").withColumns({"n": F.count("x1").over(past), "c": F.covar_samp("y1", "x1").over(past), "v": F.var_samp("x1").over(past)})
-    status = F.when(F.col("n") < 24, "insufficient_pairs").otherwise("available")
-    return run.where("n > 0").select(F.col("nm").alias("month"), "n", status.alias("status"), F.round(F.when(F.col("n") >= 24, F.col("c") / F.col("v")), 6).alias("growth_persistence"))
+@query(f"""{_HISTORY} SELECT f.target AS month, round(y1_const + y1_x1 * growth_score + y1_x2 * inflation_score, 6) AS growth_mean, round(y2_const + y2_x1 * growth_score + y2_x2 * inflation_score, 6) AS inflation_mean,
+round(q11, 6) AS growth_variance, round(q12, 6) AS covariance, round(q22, 6) AS inflation_variance, round(q11 + 0.1::DOUBLE, 6) AS readout_growth_variance, round(q12, 6) AS readout_covariance, round(q22 + 0.1::DOUBLE, 6) AS readout_inflation_variance FROM fit f JOIN scores ON month = f.target""")
+def var_prior_next_month(spark, sf_dir):
+    """Next month's prior from each exact score; the map's noise counts at readout only."""
+    s = scores(spark, sf_dir).select("month", F.col("growth_score").alias("x1"), F.col("inflation_score").alias("x2"))
+    p = G.propagate_var1(s.join(causal_fits(spark, sf_dir).where("status = 'available'"), "month"), 0.1, 0.0, 0.1)
+    return p.select("month", *(F.round(c, 6).alias(c) for c in p.columns if c != "month"))
 
 
 @query(f"""WITH {SCORES}, s AS (SELECT month, list_var_samp([z1, z2, z3, z4]) / 4 AS gv, list_var_samp([z5, z6, z7, z8]) / 4 AS iv, available_at FROM scores WHERE growth_score IS NOT NULL AND inflation_score IS NOT NULL),

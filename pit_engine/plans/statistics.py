@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from pit_engine.operators import statistics as S
@@ -118,30 +117,22 @@ def spearman(spark, sf_dir):
     return _r6(S.spearman(table(spark, sf_dir, "part").select("p_brand", "p_size", "p_retailprice"), ["p_brand"], "p_size", "p_retailprice"), "spearman")
 
 
-def bootstrap_starts(n: int, block: int, resamples: int, seed: int) -> np.ndarray:
-    """Circular block starts: drawn once, so every comparison shares them."""
-    return np.random.default_rng(seed).integers(0, n, (resamples, -(-n // block)))
+_B, _NB = 12, 200
+_STARTS = f"""st AS (SELECT r AS resample, k, CAST(floor(((x * x) % {S.MODULUS} * {S.MULTIPLIERS[1]} % {S.MODULUS}) * n / {S.MODULUS}::DOUBLE) AS BIGINT) AS start, n FROM (
+  SELECT r, k, n, (1 + 7919 * r + 104729 * k) % {S.MODULUS} * {S.MULTIPLIERS[0]} % {S.MODULUS} AS x FROM range({_NB}) a(r), (SELECT count(*) AS n FROM d), range(1000) b(k) WHERE k * {_B} < n))"""
+_PAIRED = f"""{_STARTS}, s AS (SELECT resample, (start + j) % n AS position FROM st, range({_B}) r(j) WHERE k * {_B} + j < n), m AS (SELECT resample, avg(d) AS m FROM s JOIN d USING (position) GROUP BY resample)"""
 
 
-_B, _NB, _SEED = 12, 64, 20240101
-#: The panel has 80 months whatever the scale.
-_MONTHS = 80
-_STARTS = ", ".join(f"({r}, {k}, {int(s)})" for r, row in enumerate(bootstrap_starts(_MONTHS, _B, _NB, _SEED)) for k, s in enumerate(row))
-
-
-@query(f"""WITH {PANEL}, d AS (SELECT row_number() OVER (ORDER BY month) - 1 AS position, a.value / b.value - 1 AS d FROM (SELECT * FROM panel WHERE series_id = 'F') a JOIN (SELECT * FROM panel WHERE series_id = 'O') b USING (month)),
-s AS (SELECT resample, (s + j) % {_MONTHS} AS position FROM (VALUES {_STARTS}) v(resample, k, s), range({_B}) r(j) WHERE k * {_B} + j < {_MONTHS}), m AS (SELECT resample, avg(d) AS m FROM s JOIN d USING (position) GROUP BY resample)
-SELECT round((SELECT avg(d) FROM d), 6) AS mean_difference, round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper, round(avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_positive FROM m""")
+@query(f"""WITH {PANEL}, d AS (SELECT row_number() OVER (ORDER BY month) - 1 AS position, a.value / b.value - 1 AS d FROM (SELECT * FROM panel WHERE series_id = 'F') a JOIN (SELECT * FROM panel WHERE series_id = 'O') b USING (month)), {_PAIRED}
+SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(d) FROM d), 6) AS mean_difference, round((SELECT avg(d) / stddev_samp(d) * sqrt(count(d)) FROM d), 6) AS naive_t, round((SELECT avg(d) / stddev_samp(d) * sqrt(12) FROM d), 6) AS information_ratio,
+round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper, round(avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_positive FROM m""")
 def paired_bootstrap(spark, sf_dir):
     from pyspark.sql import Window
 
     p = panel(spark, sf_dir)
     pair = p.where("series_id = 'F'").select("month", F.col("value").alias("a")).join(p.where("series_id = 'O'").select("month", F.col("value").alias("b")), "month")
-    d = pair.select((F.row_number().over(Window.orderBy("month")) - 1).alias("position"), (F.col("a") / F.col("b") - 1).alias("d"))
-    starts = spark.createDataFrame([(r, [int(s) for s in row]) for r, row in enumerate(bootstrap_starts(_MONTHS, _B, _NB, _SEED))], "resample int, starts array<int>")
-    m = S.block_bootstrap(d, starts, _MONTHS, _B)
-    out = m.agg(F.expr("percentile(mean_d, 0.025)").alias("ci_lower"), F.expr("percentile(mean_d, 0.975)").alias("ci_upper"), F.avg((F.col("mean_d") > 0).cast("double")).alias("share_positive"))
-    return _r6(out.withColumn("mean_difference", d.agg(F.avg("d")).scalar()), "mean_difference", "ci_lower", "ci_upper", "share_positive")
+    d = pair.select((F.row_number().over(Window.orderBy("month")) - 1).cast("bigint").alias("position"), (F.col("a") / F.col("b") - 1).alias("d"))
+    return _r6(S.paired_inference(d, spark, _NB, _B, 12.0), "mean_difference", "naive_t", "information_ratio", "ci_lower", "ci_upper", "share_positive")
 
 
 _EVAL = f"{PANEL}, e AS (SELECT series_id, month, value / avg(value) OVER (PARTITION BY series_id) - 1 AS error FROM panel)"
