@@ -105,38 +105,38 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 MODULUS, MULTIPLIERS = 2_147_483_647, (48_271, 16_807)
 
 
-def block_starts(spark, resamples: int, block: int, n: Column) -> DataFrame:
-    """resample, k, start: circular block starts in 0..n-1, as many blocks as ``n`` positions need.
+def block_starts(groups: DataFrame, by: list[str], resamples: int, block: int) -> DataFrame:
+    """by, n, resample, k, start: circular block starts in 0..n-1, as many blocks as a group's ``n`` positions need.
 
-    Starts come from the numbers of resample and block alone, so every
-    comparison shares them and any engine gets the same ones.
+    Starts come from the numbers of resample and block alone, so groups of one
+    length share them and any engine gets the same ones.
     """
     a, b = MULTIPLIERS
-    grid = spark.range(resamples).select(F.col("id").alias("resample"), n.cast("bigint").alias("n")).select("resample", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("k"))
+    grid = groups.select(*by, F.col("n").cast("bigint").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))).alias("resample"))
+    grid = grid.select(*by, "n", "resample", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("k"))
     x = (1 + 7919 * F.col("resample") + 104_729 * F.col("k")) % MODULUS * a % MODULUS
     y = x * x % MODULUS * b % MODULUS
-    return grid.select("resample", "k", "n", F.floor(y * F.col("n") / MODULUS).alias("start"))
+    return grid.select(*by, "n", "resample", "k", F.floor(y * F.col("n") / MODULUS).alias("start"))
 
 
-def block_bootstrap(differences: DataFrame, starts: DataFrame, block: int) -> DataFrame:
-    """Mean of each resample of circular blocks: starts has resample, k, n and start (0-based positions).
+def block_bootstrap(differences: DataFrame, by: list[str], starts: DataFrame, block: int) -> DataFrame:
+    """by, resample, mean_d: the mean of each resample of circular blocks.
 
-    differences: position (0-based), d. Every start is unfolded to its block; the positions wrap around.
+    differences: by, position (0-based), d. Every start is unfolded to its block; the positions wrap around.
     """
-    at = starts.select("resample", "k", "n", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
-    at = at.where(F.col("k") * block + F.col("j") < F.col("n")).select("resample", ((F.col("start") + F.col("j")) % F.col("n")).alias("position"))
-    return at.join(differences, "position").groupBy("resample").agg(F.avg("d").alias("mean_d"))
+    at = starts.select(*by, "n", "resample", "k", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
+    at = at.where(F.col("k") * block + F.col("j") < F.col("n")).select(*by, "resample", ((F.col("start") + F.col("j")) % F.col("n")).alias("position"))
+    return at.join(differences, [*by, "position"]).groupBy(*by, "resample").agg(F.avg("d").alias("mean_d"))
 
 
-def paired_inference(differences: DataFrame, spark, resamples: int, block: int, periods_per_year: float) -> DataFrame:
-    """One row: n, mean difference, naive t, information ratio, and the block bootstrap's interval and share above zero."""
-    base = differences.agg(F.count("d").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("_s"))
-    m = block_bootstrap(differences, block_starts(spark, resamples, block, base.select("n").scalar()), block)
-    boot = m.agg(F.expr("percentile(mean_d, 0.025)").alias("ci_lower"), F.expr("percentile(mean_d, 0.975)").alias("ci_upper"), F.avg((F.col("mean_d") > 0).cast("double")).alias("share_positive"))
+def paired_inference(differences: DataFrame, by: list[str], resamples: int, block: int, periods_per_year: float) -> DataFrame:
+    """Per group: n, mean difference, naive t, information ratio, and the block bootstrap's interval and share above zero."""
+    base = differences.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("_s"))
+    m = block_bootstrap(differences, by, block_starts(base.where("n > 0"), by, resamples, block), block)
+    boot = m.groupBy(*by).agg(F.expr("percentile(mean_d, 0.025)").alias("ci_lower"), F.expr("percentile(mean_d, 0.975)").alias("ci_upper"), F.avg((F.col("mean_d") > 0).cast("double")).alias("share_positive"))
     t = F.when(F.col("_s") > 0, F.col("mean_difference") / F.col("_s") * F.sqrt("n"))
     ir = F.when(F.col("_s") > 0, F.col("mean_difference") / F.col("_s") * periods_per_year**0.5)
-    # Both sides are one row.
-    return base.join(boot).select("n", "mean_difference", t.alias("naive_t"), ir.alias("information_ratio"), "ci_lower", "ci_upper", "share_positive")
+    return base.join(boot, by).select(*by, "n", "mean_difference", t.alias("naive_t"), ir.alias("information_ratio"), "ci_lower", "ci_upper", "share_positive")
 
 
 def evaluation_summary(df: DataFrame, by: list[str], error: str, score: str) -> DataFrame:

@@ -132,7 +132,8 @@ def paired_bootstrap(spark, sf_dir):
     p = panel(spark, sf_dir)
     pair = p.where("series_id = 'F'").select("month", F.col("value").alias("a")).join(p.where("series_id = 'O'").select("month", F.col("value").alias("b")), "month")
     d = pair.select((F.row_number().over(Window.orderBy("month")) - 1).cast("bigint").alias("position"), (F.col("a") / F.col("b") - 1).alias("d"))
-    return _r6(S.paired_inference(d, spark, _NB, _B, 12.0), "mean_difference", "naive_t", "information_ratio", "ci_lower", "ci_upper", "share_positive")
+    out = S.paired_inference(d.withColumn("sample", F.lit("all")), ["sample"], _NB, _B, 12.0).drop("sample")
+    return _r6(out, "mean_difference", "naive_t", "information_ratio", "ci_lower", "ci_upper", "share_positive")
 
 
 _EVAL = f"{PANEL}, e AS (SELECT series_id, month, value / avg(value) OVER (PARTITION BY series_id) - 1 AS error FROM panel)"
