@@ -91,7 +91,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_lang: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            by_lang.setdefault(lang, Counter()).update(WORD.findall(_folded(text.as_py() or "")))
+            by_lang.setdefault(lang, Counter()).update(_lettered(text.as_py() or "")[1])
             counts[lang, -100] += 1
         for lang, words in by_lang.items():
             for word, n in words.items():
@@ -182,7 +182,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans) for each text; spans are code points with the language of their words."""
-        words = [WORD.findall(_folded(t)) if t and self.langs else [] for t in texts]
+        words = [_lettered(t)[1] if t and self.langs else [] for t in texts]
         evidence = self.evidence([w for x in words for w in x])
         out, at = [], 0
         for text, own in zip(texts, words, strict=True):
@@ -203,7 +203,7 @@ class Model:
             letters = np.fromiter(map(len, own), np.int64, len(own))
             share = np.bincount(path, letters, len(self.langs))
             best = int(share.argmax())
-            starts = [m.start() for m in WORD.finditer(_folded(text))]
+            starts = [m.start() for m in WORD.finditer(_lettered(text)[0])]
             edges = [0, *(starts[c] for c in cuts), len(text)]
             spans = [(a, b, self.langs[path[c]]) for a, b, c in zip(edges, edges[1:], [0, *cuts], strict=False)]
             out.append((self.langs[best], float(share[best] / letters.sum()), spans))
@@ -211,10 +211,19 @@ class Model:
 
 
 def _folded(text: str) -> str:
-    """Lower case, but only where that keeps every position; blanks for numbers that look like letters to a pattern."""
+    """Lower case, but only where that keeps every position."""
     lower = text.lower()
-    text = lower if len(lower) == len(text) else text
-    return text if text.isascii() else _NO_LETTER.sub(" ", text)
+    return lower if len(lower) == len(text) else text
+
+
+def _lettered(text: str) -> tuple[str, list[str]]:
+    """The folded text and its words; numbers that look like letters to the pattern are blanks in both."""
+    text = _folded(text)
+    words = WORD.findall(text)
+    if not all(map(str.isalpha, words)):
+        text = _NO_LETTER.sub(" ", text)
+        words = WORD.findall(text)
+    return text, words
 
 
 #: Characters of text that are worked on at once.
