@@ -25,5 +25,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _family in ("pit", "features", "regimes", "portfolio", "statistics", "models", "walkforward", "forecasts"):
+for _family in ("pit", "features", "regimes", "portfolio", "statistics", "models", "walkforward", "forecasts", "weekly"):
     importlib.import_module(f"pit_engine.plans.{_family}")
