@@ -171,14 +171,17 @@ def linked_components(members: DataFrame, most: int, verify: Callable[[DataFrame
     tried: DataFrame | None = None
     edges: DataFrame | None = None
 
-    def connect(pairs: DataFrame) -> DataFrame:
-        """The components with the links among further pairs."""
+    def connect(pairs: DataFrame, now: DataFrame | None = None) -> DataFrame:
+        """The components with the links among further pairs; ``now`` again if there are none."""
         nonlocal tried, edges
         pairs = _both(pairs)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         found = materialize(verify(pairs), "edges") if verify else pairs
+        if now is not None and found.isEmpty():
+            discard(pairs)
+            return now
         tried = pairs if tried is None else tried.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         return materialize(components(edges), "components")
@@ -198,7 +201,7 @@ def linked_components(members: DataFrame, most: int, verify: Callable[[DataFrame
     # The largest component's members have nothing to say to each other: the others meet everyone.
     others = mixed.where("c <> largest").select("key", F.col("n").alias("a"), F.col("w").alias("aw"), F.col("c").alias("ac"))
     meet = others.join(mixed.select("key", F.col("n").alias("b"), F.col("w").alias("bw"), F.col("c").alias("bc")), "key")
-    done = connect(meet.where((F.col("ac") != F.col("bc")) & _near("aw", "bw", most)).select("a", "b"))
+    done = connect(meet.where((F.col("ac") != F.col("bc")) & _near("aw", "bw", most)).select("a", "b"), now)
     discard(crowded, tried, edges, mixed)
     return done
 
