@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pit_engine.functions import emissions as E
 from pit_engine.functions import numerics as N
+from pit_engine.functions.emissions import EmissionSpec
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -217,3 +219,59 @@ def allocate_sequentially(returns: DataFrame, specifications: dict[str, float],
 
 def months_since_1970(c: Column) -> Column:
     return (F.year(c) - 1970) * 12 + F.month(c) - 1
+
+
+def annual_tail_scores(table: DataFrame, by: list[str], date: str, spec: EmissionSpec, degrees: list[float | None], minimum: int) -> DataFrame:
+    """Predictive log loss of each year by fits on the rows known before it, for each penalty and tail.
+
+    Columns: by, base_lambda, degrees_of_freedom (NULL: Gaussian), year, status
+    (scored, insufficient_history or fit_error), n, total_nll, mean_nll. One
+    group for each (by, penalty, tail): the folds of a grid run in parallel.
+    """
+    grid = [F.struct(F.lit(float(lam)).alias("base_lambda"), F.lit(nu).cast("double").alias("degrees_of_freedom")) for lam in spec.lambdas for nu in degrees]
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([date, *spec.columns])
+        lam, nu = key[-2], None if key[-1] is None or np.isnan(key[-1]) else key[-1]
+        y, x, u = (pdf[list(c)].to_numpy(float).reshape(len(pdf), len(c)) for c in (spec.responses, spec.states, spec.controls))
+        years, out = pd.to_datetime(pdf[date]).dt.year.to_numpy(), []
+        for year in np.unique(years):
+            past, now = years < year, years == year
+            total, status = None, "insufficient_history"
+            if past.sum() >= minimum:
+                try:
+                    fit = E.fit_emission(y[past], x[past], u[past], spec, lam, nu)
+                    total, status = float(E.predictive_nll(fit, y[now], x[now], u[now]).sum()), "scored"
+                except (ValueError, np.linalg.LinAlgError):
+                    status = "fit_error"
+            out.append((*key[:-2], lam, nu, int(year), status, int(now.sum()), total, None if total is None else total / int(now.sum())))
+        return pd.DataFrame(out, columns=[*by, "base_lambda", "degrees_of_freedom", "year", "status", "n", "total_nll", "mean_nll"])
+
+    rows = table.select(*by, date, *spec.columns, F.explode(F.array(*grid)).alias("_grid")).select(*by, date, *spec.columns, "_grid.*").dropna(subset=[date, *spec.columns])
+    kinds = dict(table.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", base_lambda double, degrees_of_freedom double, year int, status string, n bigint, total_nll double, mean_nll double"
+    return rows.groupBy(*by, "base_lambda", "degrees_of_freedom").applyInPandas(score, schema)
+
+
+def tuned_emissions(table: DataFrame, by: list[str], date: str, spec: EmissionSpec, degrees: list[float | None], minimum: int) -> DataFrame:
+    """Per model the penalty and tail of least predictive loss (ties: larger), refitted on all its rows.
+
+    Columns: by, base_lambda, degrees_of_freedom, mean_nll, n, intercept, loadings, control_loadings, covariance, converged.
+    """
+    scores = annual_tail_scores(table, by, date, spec, degrees, minimum).where("status = 'scored'").groupBy(*by, "base_lambda", "degrees_of_freedom").agg((F.sum("total_nll") / F.sum("n")).alias("mean_nll"))
+    tail = F.coalesce("degrees_of_freedom", F.lit(float("inf")))
+    best = scores.groupBy(*by).agg(F.min_by(F.struct("base_lambda", "degrees_of_freedom", "mean_nll"), F.struct("mean_nll", -F.col("base_lambda"), -tail)).alias("b")).select(*by, "b.*")
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([date, *spec.columns])
+        y, x, u = (pdf[list(c)].to_numpy(float).reshape(len(pdf), len(c)) for c in (spec.responses, spec.states, spec.controls))
+        lam, nu, nll = key[-3:]
+        nu = None if nu is None or np.isnan(nu) else nu
+        f = E.fit_emission(y, x, u, spec, lam, nu)
+        row = (*key[:-3], lam, nu, nll, len(pdf), f.intercept.tolist(), f.states.ravel().tolist(), f.controls.ravel().tolist(), f.covariance.ravel().tolist(), bool(f.converged))
+        return pd.DataFrame([row], columns=[*by, "base_lambda", "degrees_of_freedom", "mean_nll", "n", "intercept", "loadings", "control_loadings", "covariance", "converged"])
+
+    rows = table.select(*by, date, *spec.columns).dropna(subset=[date, *spec.columns]).join(best, by)
+    kinds = dict(table.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", base_lambda double, degrees_of_freedom double, mean_nll double, n bigint, intercept array<double>, loadings array<double>, control_loadings array<double>, covariance array<double>, converged boolean"
+    return rows.groupBy(*by, "base_lambda", "degrees_of_freedom", "mean_nll").applyInPandas(fit, schema)

@@ -189,9 +189,9 @@ def log_likelihoods(observations: DataFrame, keys: list[str], fit: dict[str, Dat
         v = np.stack([np.asarray(r, float) for r in x])
         return pd.DataFrame({"maha": (v * np.linalg.solve(scale, v.T).T).sum(1), "logdet": np.full(len(v), np.linalg.slogdet(scale)[1])})
 
-    rows = observations.select(*keys, *features).join(fit["means"].drop("n")).join(fit["covariance"].select("c"))
+    rows = observations.select(*keys, *features).join(fit["means"].drop("n")).join(fit["covariance"].select(F.col("c").alias("_cov")))
     gap = F.array(*(F.col(f) - F.col(f"m_{f}") for f in features))
-    rows = rows.withColumn("_s", solved(gap, "c"))
+    rows = rows.withColumn("_s", solved(gap, "_cov"))
     maha, logdet = F.col("_s.maha"), F.col("_s.logdet")
     if nu is None:
         density = -0.5 * (d * math.log(2 * math.pi) + logdet + maha)

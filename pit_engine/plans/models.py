@@ -8,14 +8,19 @@ from pit_engine.operators import models as M
 from pit_engine.operators import statistics as S
 from pit_engine.plans import regimes as G
 from pit_engine.plans.features import daily
-from pit_engine.plans.inputs import scores, table
+from pit_engine.plans.inputs import ARCHIVE, scores, table
 from pit_engine.plans.registry import query
 from pit_engine.sources import charts
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, CAST(label AS BIGINT) AS label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL), m AS (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL), c AS (SELECT vec_id, x.label, x.i, v - m AS v FROM x JOIN m ON m.label IS NOT DISTINCT FROM x.label AND m.i = x.i),
+s AS (SELECT a.label, a.i, b.i AS j, count(*) AS n, avg(a.v * b.v) AS s, avg(a.v * a.v * b.v * b.v) AS q FROM c a JOIN c b ON b.vec_id = a.vec_id GROUP BY ALL),
+h AS (SELECT label, any_value(n) AS n, sqrt(count(*)) AS p, sum(s) FILTER (i = j) AS tr, sum(s * s) AS norm, sum(q) AS q FROM s GROUP BY label), k AS (SELECT label, n, tr / p AS mu, (norm - tr * tr / p) / p AS delta, (q - norm) / (p * n) AS beta FROM h),
+w AS (SELECT label, n, mu, CASE WHEN delta <= 0 THEN 0 ELSE least(beta, delta) / delta END AS shrinkage FROM k)
+SELECT w.label, w.n, round(shrinkage, 6) AS shrinkage, list(round((1 - shrinkage) * s + CASE WHEN i = j THEN shrinkage * mu ELSE 0 END, 6) + 0 ORDER BY i, j) AS covariance FROM s JOIN w ON w.label IS NOT DISTINCT FROM s.label GROUP BY ALL""")
 def ledoit_wolf_cov(spark, sf_dir):
-    return M.ledoit_wolf(table(spark, sf_dir, "embeddings").where("embedding is not null"), "label", "embedding")
+    found = M.ledoit_wolf(table(spark, sf_dir, "embeddings").where("embedding is not null"), "label", "embedding")
+    return found.withColumns({"shrinkage": F.round("shrinkage", 6), "covariance": F.transform("covariance", lambda x: F.round(x, 6) + 0)})
 
 
 @query()
@@ -60,6 +65,58 @@ def student_t_fit(spark, sf_dir):
     return M.student_t_emission(emission_rows(spark, sf_dir), ["series_id"], "y", ["x", "dow"], 1.0, 7.0)
 
 
+def panel_emissions(spark, sf_dir):
+    """Two responses of the monthly panel on the growth and inflation scores, with a calendar control."""
+    s = scores(spark, sf_dir).where("growth_score is not null and inflation_score is not null")
+    return s.select(F.lit("panel").alias("profile_id"), "month", F.col("z1").alias("r1"), F.col("z5").alias("r2"), "growth_score", "inflation_score", F.month("month").cast("double").alias("season"))
+
+
+def panel_spec():
+    """The first response doesn't load on inflation, the second not on growth."""
+    from pit_engine.functions.emissions import EmissionSpec
+
+    return EmissionSpec(("r1", "r2"), ("growth_score", "inflation_score"), ("season",), zero=((False, True), (True, False)), lambdas=(0.1, 1.0, 10.0))
+
+
+@query()
+def annual_tail_scores(spark, sf_dir):
+    return M.annual_tail_scores(panel_emissions(spark, sf_dir), ["profile_id"], "month", panel_spec(), [None, 4.0, 7.0], 12)
+
+
+@query()
+def tuned_emissions(spark, sf_dir):
+    return M.tuned_emissions(panel_emissions(spark, sf_dir), ["profile_id"], "month", panel_spec(), [None, 4.0, 7.0], 12)
+
+
+@query()
+def emission_residuals(spark, sf_dir):
+    return M.rolling_origin_residuals(emission_rows(spark, sf_dir), ["series_id"], "d", "y", ["x", "dow"], [0.0, 1.0], 10)
+
+
+@query()
+def active_weights(spark, sf_dir):
+    """Benchmark-relative weights of four limits, from the returns of all tickers."""
+    import numpy as np
+    import pandas as pd
+
+    from pit_engine.functions import numerics as N
+    from pit_engine.operators.windows import complete_case_returns
+    from pit_engine.plans.inputs import TICKERS, prices
+
+    r = complete_case_returns(prices(spark, sf_dir), "ticker", "date", "close", len(TICKERS))
+    caps = F.explode(F.array(*(F.lit(x) for x in (0.01, 0.05, 0.2)))).alias("tracking_cap")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="date", columns="ticker", values="ret").sort_index()
+        cov, _ = N.ledoit_wolf(wide.to_numpy(float))
+        n = wide.shape[1]
+        even = np.full(n, 1.0 / n)
+        w, status = N.active_allocate(wide.mean().to_numpy(), cov, even, even, np.full(n, 0.4), [], np.full(n, 0.0005), key[0], 0.05, 0.1, 10.0)
+        return pd.DataFrame({"tracking_cap": key[0], "ticker": wide.columns, "target_weight": w, "status": status})
+
+    return r.select("date", "ticker", "ret", caps).groupBy("tracking_cap").applyInPandas(run, "tracking_cap double, ticker string, target_weight double, status string")
+
+
 PARAMETERS = {"start": 300, "b": [[0.6, 0.1], [0.0, 0.5]], "c": [0.0, 0.0], "q": [[0.3, 0.0], [0.0, 0.3]], "mean": [0.0, 0.0], "cov": [[1.0, 0.0], [0.0, 1.0]], "noise": [[0.5, 0.1], [0.1, 0.5]], "mapping": [[0.1, 0.0], [0.0, 0.1]]}
 
 
@@ -135,9 +192,14 @@ def html_options(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", charts.attribute_values(F.col("html"), "a", "href").alias("links"))
 
 
-@query()
+@query(f"""WITH {ARCHIVE}, m AS (SELECT *, count(transformed_value) OVER w AS prior_n, avg(transformed_value) OVER w AS prior_mean, stddev_samp(transformed_value) OVER w AS prior_std FROM features WHERE status = 'available'
+  WINDOW w AS (PARTITION BY series_id ORDER BY release_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+z AS (SELECT *, CASE WHEN prior_n < 12 THEN 'standardization_warmup' WHEN coalesce(prior_std, 0) <= 0 THEN 'standardization_unidentified' ELSE 'available' END AS feature_status FROM m)
+SELECT 'shipments|' || series_id || '|' || strftime(reference_date, '%Y-%m-%d') || '|' || strftime(release_date, '%Y-%m-%d') AS event_id, 'shipments|' || strftime(release_date, '%Y-%m-%d') AS event_group_id, 'shipments' AS release_block, 'log_change' AS feature_name, series_id, reference_date, release_date,
+  current_value, previous_value, round(transformed_value, 6) AS transformed_value, release_lag_days, prior_n, round(prior_mean, 6) AS prior_mean, round(prior_std, 6) AS prior_std, round(CASE WHEN feature_status = 'available' THEN (transformed_value - prior_mean) / prior_std END, 4) AS feature_value, feature_status FROM z""")
 def canonical_events(spark, sf_dir):
     from pit_engine.plans.inputs import archive
     from pit_engine.plans.stages import build_evidence
 
-    return build_evidence(archive(spark, sf_dir), "shipments", "log_change", 12)["events"]
+    found = build_evidence(archive(spark, sf_dir), "shipments", "log_change", 12)["events"]
+    return found.withColumns({c: F.round(c, 6) for c in ("transformed_value", "prior_mean", "prior_std")}).withColumn("feature_value", F.round("feature_value", 4))

@@ -139,7 +139,7 @@ def risk_change(spark, sf_dir):
     return _r(W.risk_change(late, early), "old_shrinkage", "new_shrinkage", "mean_relative_change", "largest_relative_change")
 
 
-@query(f"{_MODEL} SELECT count(*) AS cells, 0.0::DOUBLE AS largest_difference FROM ex WHERE ticker IN ('F', 'O')")
+@query(f"{_MODEL} SELECT count(*) AS cells, CASE WHEN count(*) > 0 THEN 0.0::DOUBLE END AS largest_difference FROM ex WHERE ticker IN ('F', 'O')")
 def mean_parity(spark, sf_dir):
     """Expected returns of two tickers don't change when a third one joins the model."""
     known = W.labelled_returns(order_returns(spark, sf_dir), history(spark, sf_dir), cuts(spark))
