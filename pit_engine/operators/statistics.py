@@ -144,6 +144,13 @@ def evaluation_summary(df: DataFrame, by: list[str], error: str, score: str) ->
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(error).alias("bias"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"), F.expr(f"percentile(abs({error}), 0.5)").alias("median_abs_error"), F.avg(score).alias("mean_score"))
 
 
+def in_subperiods(df: DataFrame, date: str, spans: dict[str, tuple[str | None, str | None]]) -> DataFrame:
+    """Rows once for each span that holds their date, with its name in ``period``; spans may overlap, ends are exclusive."""
+    inside = lambda lo, hi: (F.col(date) >= F.lit(lo).cast("date") if lo else F.lit(True)) & (F.col(date) < F.lit(hi).cast("date") if hi else F.lit(True))
+    names = F.array_compact(F.array(*(F.when(inside(lo, hi), F.lit(name)) for name, (lo, hi) in spans.items())))
+    return df.withColumn("period", F.explode(names))
+
+
 def paired_comparison(df: DataFrame, keys: list[str], variant: str, baseline: str, value: str) -> DataFrame:
     """Mean difference of each variant to the baseline on keys where both have a value, and the share of wins (smaller is better)."""
     b = df.where(F.col(variant) == baseline).select(*keys, F.col(value).alias("_b"))

@@ -233,3 +233,28 @@ def paired_release(events: DataFrame, control: DataFrame, days: int = 7) -> Data
     """Responses with the control of the same publication whose reference is ``days`` later."""
     c = control.select(F.date_sub("reference_date", days).alias("reference_date"), "release_date", F.col("value").alias("control_value"))
     return events.join(c, ["reference_date", "release_date"], "left")
+
+
+def axis_availability(releases: DataFrame, axes: dict[str, str]) -> DataFrame:
+    """reference_date, axis, available_at: when each axis' score was known, NULL while a component is missing.
+
+    axes: series -> axis. A component counts with its latest release so far.
+    """
+    axis = F.create_map(*(F.lit(x) for pair in axes.items() for x in pair))[F.col("series_id")]
+    so_far = Window.partitionBy("series_id").orderBy("reference_date").rowsBetween(Window.unboundedPreceding, 0)
+    known = releases.where(F.col("series_id").isin(list(axes))).select("reference_date", axis.alias("axis"), F.max("release_date").over(so_far).alias("known"))
+    needed = F.create_map(*(F.lit(x) for a in dict.fromkeys(axes.values()) for x in (a, sum(v == a for v in axes.values()))))[F.col("axis")]
+    months = known.groupBy("reference_date", "axis").agg(F.count("known").alias("_n"), F.max("known").alias("_m"))
+    return months.select("reference_date", "axis", F.when(F.col("_n") == needed, F.col("_m")).alias("available_at"))
+
+
+def timeline(sources: dict[str, DataFrame], start: Column, end: Column) -> DataFrame:
+    """date, kinds: every date on which something happens, with month starts and month ends between ``start`` and ``end``.
+
+    sources: kind -> a table of one date column.
+    """
+    months = next(iter(sources.values())).sparkSession.range(1).select(F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))).alias("m"))
+    rows = months.select(F.explode(F.array(F.struct(F.col("m").alias("date"), F.lit("month_start").alias("kind")), F.struct(F.last_day("m").alias("date"), F.lit("month_end").alias("kind")))).alias("x")).select("x.*")
+    for kind, df in sources.items():
+        rows = rows.unionByName(df.select(F.col(df.columns[0]).alias("date"), F.lit(kind).alias("kind")))
+    return rows.where(F.col("date").between(start, end)).groupBy("date").agg(F.array_join(F.sort_array(F.collect_set("kind")), "+").alias("kinds"))

@@ -135,3 +135,29 @@ def period_end_returns(prices: DataFrame, ticker: str, date: str, close: str, pe
     last = prices.groupBy(ticker, period.alias("period")).agg(F.max_by(close, date).alias("last_close"), F.max(date).alias("last_date"))
     own = Window.partitionBy(ticker).orderBy("period")
     return last.withColumn("period_return", F.col("last_close") / F.lag("last_close").over(own) - 1)
+
+
+def level_transforms(levels: DataFrame, keys: str, date: str, value: str, transforms: dict[str, str]) -> DataFrame:
+    """Monthly changes of levels that share one vintage: ``transformed``, by each series' own transform.
+
+    transforms: series -> log_difference, difference, negative_difference or
+    level. The month before has to be there; a gap gives no change.
+    """
+    from pit_engine.operators.vintages import apply_transform
+
+    own = Window.partitionBy(keys).orderBy(date)
+    prior = F.when(F.lag(date).over(own) == F.add_months(date, -1), F.lag(value).over(own))
+    out = F.lit(None).cast("double")
+    for series, how in transforms.items():
+        out = F.when(F.col(keys) == series, apply_transform(F.col(value), F.col("_prior"), how)).otherwise(out)
+    return levels.withColumn("_prior", prior).withColumn("transformed", out).drop("_prior")
+
+
+def composite_features(levels: DataFrame, keys: str, date: str, value: str, transforms: dict[str, str], axes: dict[str, str], minimum: int, window: int) -> DataFrame:
+    """date, axis, score, smoothed: composites of one vintage's levels, by transform, lagged z-score, mean and trailing mean."""
+    z = lagged_expanding_zscore(level_transforms(levels, keys, date, value, transforms), [keys], date, "transformed", minimum)
+    axis = F.create_map(*(F.lit(x) for pair in axes.items() for x in pair))[F.col(keys)]
+    needed = F.create_map(*(F.lit(x) for a in dict.fromkeys(axes.values()) for x in (a, sum(v == a for v in axes.values()))))[F.col("axis")]
+    scores = z.where(F.col(keys).isin(list(axes))).groupBy(date, axis.alias("axis")).agg(F.count("z").alias("_n"), F.avg("z").alias("_m"))
+    scores = scores.select(date, "axis", F.when(F.col("_n") == needed, F.col("_m")).alias("score"))
+    return trailing_full_mean(scores, ["axis"], date, "score", window).withColumnRenamed("trailing_mean", "smoothed")

@@ -158,11 +158,13 @@ def paired_comparison(spark, sf_dir):
     return _r6(S.paired_comparison(e, ["month"], "series_id", "F", "a"), "mean_difference", "win_share")
 
 
-@query(f"WITH {_EVAL} SELECT p.period, count(*) AS n, round(sqrt(avg(error * error)), 6) AS rmse FROM e JOIN (VALUES ('full', DATE '1900-01-01', DATE '2100-01-01'), ('early', DATE '1900-01-01', DATE '1998-01-01'), ('late', DATE '1998-01-01', DATE '2100-01-01')) p(period, lo, hi) ON month >= lo AND month < hi GROUP BY p.period")
+_SPANS = {"full": (None, None), "early": (None, "1997-01-01"), "middle": ("1996-01-01", "1999-01-01"), "late": ("1999-01-01", None)}
+
+
+@query(f"WITH {_EVAL} SELECT p.period, count(*) AS n, round(avg(error), 6) + 0 AS bias, round(sqrt(avg(error * error)), 6) AS rmse, round(quantile_cont(abs(error), 0.5), 6) AS median_abs_error, round(avg(error * error), 6) AS mean_score FROM e JOIN (VALUES {', '.join(f"('{k}', DATE '{lo or '1900-01-01'}', DATE '{hi or '2100-01-01'}')" for k, (lo, hi) in _SPANS.items())}) p(period, lo, hi) ON month >= lo AND month < hi GROUP BY p.period")
 def subperiod_summary(spark, sf_dir):
-    spans = F.array(F.lit("full"), F.when(F.col("month") < "1998-01-01", "early").otherwise("late"))
-    e = errors(spark, sf_dir).select("error", F.explode(spans).alias("period"))
-    return e.groupBy("period").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("error") * F.col("error"))), 6).alias("rmse"))
+    e = S.in_subperiods(errors(spark, sf_dir).withColumn("sq", F.col("error") * F.col("error")), "month", _SPANS)
+    return _r6(S.evaluation_summary(e, ["period"], "error", "sq"), "bias", "rmse", "median_abs_error", "mean_score").withColumn("bias", F.col("bias") + 0)
 
 
 @query(f"""WITH {PANEL}, l AS (SELECT * FROM panel WHERE month < DATE '2001-01-01'), r AS (SELECT series_id, month, CASE WHEN month(month) = 6 THEN value + 1 ELSE value END AS value FROM panel WHERE month >= DATE '1995-03-01')

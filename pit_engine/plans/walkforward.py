@@ -8,7 +8,7 @@ from pit_engine.operators import ledger as L
 from pit_engine.operators import models as M
 from pit_engine.operators import vintages as V
 from pit_engine.operators import walkforward as K
-from pit_engine.plans.inputs import ARCHIVE, PRICES, SCORES, archive, prices, scores, table
+from pit_engine.plans.inputs import ARCHIVE, GROWTH, INFLATION, PANEL, PRICES, SCORES, archive, cents, panel, prices, scores, table
 from pit_engine.plans.regimes import _VAR, history, var_input
 from pit_engine.plans.registry import query
 
@@ -313,3 +313,59 @@ def flag_maps(spark, sf_dir):
     m = c.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("m"))
     total = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return m.select("l_orderkey", total.alias("n"), F.coalesce(F.try_element_at("m", F.lit("R")), F.lit(0)).cast("bigint").alias("returned"), F.array_join(F.sort_array(F.map_keys("m")), ",").alias("flags"))
+
+
+# ------------------------------------------------------------------ calendars, composites and weekly events
+
+
+@query(f"""WITH {ARCHIVE}, k AS (SELECT series_id, reference_date, CASE series_id WHEN 'N' THEN 'open' ELSE 'closed' END AS axis, max(release_date) OVER (PARTITION BY series_id ORDER BY reference_date) AS known FROM first)
+SELECT reference_date, axis, CASE WHEN count(known) = max(CASE axis WHEN 'open' THEN 1 ELSE 2 END) THEN max(known) END AS available_at FROM k GROUP BY ALL""")
+def axis_availability(spark, sf_dir):
+    return V.axis_availability(V.first_release(archive(spark, sf_dir)), {"A": "closed", "R": "closed", "N": "open"})
+
+
+@query(f"""WITH {ARCHIVE}, {SCORES}, m AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS DATE) AS m),
+t AS (SELECT m AS date, 'month_start' AS kind FROM m UNION ALL SELECT last_day(m), 'month_end' FROM m UNION ALL SELECT release_date, 'event' FROM first UNION ALL SELECT available_at, 'score' FROM scores)
+SELECT date, list_aggregate(list_sort(list(DISTINCT kind)), 'string_agg', '+') AS kinds FROM t WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY date""")
+def event_timeline(spark, sf_dir):
+    day = lambda d: F.lit(d).cast("date")
+    return V.timeline({"event": V.first_release(archive(spark, sf_dir)).select("release_date"), "score": scores(spark, sf_dir).select("available_at")}, day("1996-01-01"), day("1999-12-31"))
+
+
+_HOW = {s: "log_difference" for s in GROWTH} | {s: "difference" for s in INFLATION[:2]} | {s: "negative_difference" for s in INFLATION[2:]}
+
+
+@query(f"""WITH {PANEL}, l AS (SELECT *, CASE WHEN lag(month) OVER w = CAST(month - INTERVAL 1 MONTH AS DATE) THEN lag(value) OVER w END AS p FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY month)),
+t AS (SELECT *, CASE WHEN series_id IN ('{"', '".join(GROWTH)}') THEN CASE WHEN value > 0 AND p > 0 THEN 100 * (ln(value) - ln(p)) END WHEN series_id IN ('{"', '".join(INFLATION[:2])}') THEN value - p ELSE p - value END AS x FROM l),
+z AS (SELECT *, CASE WHEN count(x) OVER w >= 12 AND stddev_samp(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w END AS z FROM t WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT month, CASE WHEN series_id IN ('{"', '".join(GROWTH)}') THEN 'growth' ELSE 'inflation' END AS axis, CASE WHEN count(z) = 4 THEN avg(z) END AS score FROM z GROUP BY ALL)
+SELECT month, axis, round(score, 6) + 0 AS score, round(CASE WHEN count(score) OVER w = 3 THEN avg(score) OVER w END, 6) + 0 AS smoothed FROM s WINDOW w AS (PARTITION BY axis ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def composite_features(spark, sf_dir):
+    from pit_engine.operators.windows import composite_features as build
+
+    axes = {s: "growth" for s in GROWTH} | {s: "inflation" for s in INFLATION}
+    out = build(panel(spark, sf_dir), "series_id", "month", "value", _HOW, axes, 12, 3)
+    return out.select("month", "axis", (F.round("score", 6) + 0).alias("score"), (F.round("smoothed", 6) + 0).alias("smoothed"))
+
+
+@query("""WITH wk AS (SELECT o_orderstatus AS series_id, CAST(date_trunc('week', o_orderdate) AS DATE) AS d, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS level FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL),
+chained AS (SELECT * FROM wk QUALIFY count(*) OVER (PARTITION BY series_id) = date_diff('day', min(d) OVER (PARTITION BY series_id), max(d) OVER (PARTITION BY series_id)) / 7 + 1),
+y AS (SELECT *, ln(level) AS y, lag(ln(level)) OVER (PARTITION BY series_id ORDER BY d) AS x FROM chained),
+f AS (SELECT *, count(CASE WHEN x IS NOT NULL THEN 1 END) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM y WINDOW w AS (PARTITION BY series_id ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+e AS (SELECT *, CASE WHEN n >= 52 THEN y - (a + b * x) END AS innovation FROM f),
+s AS (SELECT *, count(innovation) OVER w AS k, avg(innovation) OVER w AS m, stddev_samp(innovation) OVER w AS sd FROM e WINDOW w AS (PARTITION BY series_id ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT 'weekly|' || series_id || '|' || strftime(d, '%Y-%m-%d') || '|' || strftime(d + INTERVAL 11 DAY, '%Y-%m-%d') AS event_id, d AS reference_date, CAST(d + INTERVAL 11 DAY AS DATE) AS release_date, 11 AS release_lag_days, round(innovation, 5) + 0 AS transformed_value,
+  CASE WHEN x IS NULL OR n < 52 THEN 'ar_warmup' WHEN b IS NULL THEN 'ar_unidentified' WHEN k < 26 THEN 'standardization_warmup' WHEN coalesce(sd, 0) <= 0 THEN 'standardization_unidentified' ELSE 'available' END AS feature_status,
+  round(CASE WHEN k >= 26 AND sd > 0 AND n >= 52 THEN (innovation - m) / sd END, 4) + 0 AS feature_value FROM s""")
+def weekly_release_events(spark, sf_dir):
+    """Weekly levels without a gap as events of standardised AR(1) innovations."""
+    from pyspark.sql import Window
+
+    from pit_engine.operators.evidence import validate_events, weekly_events
+
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_orderstatus").alias("series_id"), F.to_date(F.trunc("o_orderdate", "week")).alias("reference_date")).agg((F.sum(cents("o_totalprice")).cast("double") / 100).alias("level"))
+    own = Window.partitionBy("series_id")
+    whole = F.count("*").over(own) == F.datediff(F.max("reference_date").over(own), F.min("reference_date").over(own)) / 7 + 1
+    levels = o.withColumn("_whole", whole).where("_whole").drop("_whole").withColumn("release_date", F.date_add("reference_date", 11))
+    e = validate_events(weekly_events(levels, "weekly", "innovation", 52, 26))
+    return e.select("event_id", "reference_date", "release_date", "release_lag_days", (F.round("transformed_value", 5) + 0).alias("transformed_value"), "feature_status", (F.round("feature_value", 4) + 0).alias("feature_value"))
