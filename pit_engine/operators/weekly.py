@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,22 +104,24 @@ def pooled(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return mixture(model, frequency, "sample_mean")
 
 
-def dynamic_targets(returns: DataFrame, history: DataFrame, signals: DataFrame, specifications: dict[str, tuple[float, float, float]], minimum: int, cap: float, cost: float, annualization: float = 52.0, group_caps: list[tuple[list[str], float]] | None = None) -> DataFrame:
+def dynamic_targets(returns: DataFrame, history: DataFrame, signals: DataFrame, specifications: dict[str, tuple[float, float, float]], minimum: int, cap: float, cost: float, annualization: float = 52.0, group_caps: list[tuple[list[str], float]] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Targets of each specification at each signal: model at the day before, mixture moments, then the allocator.
 
     specifications: method -> (kappa, volatility cap, cap multiplier). The model
     is relational and fitted once for each (cutoff, kappa); the loop over weeks
     is a fold, since a trade starts from the last target, drifted. Specifications
-    run in parallel.
+    run in parallel. ``keep`` may persist the tables that are read several times
+    (calendars of cutoffs, regimes and tickers).
     """
     cut = signals.select(F.date_sub("signal_date", 1).alias("cutoff")).distinct()
-    known = labelled_returns(returns, history, cut)
+    known = keep(labelled_returns(returns, history, cut))
     names = [f"p_{r.lower()}" for r in REGIMES]
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("regime_id"), F.col(n).alias("p")) for r, n in zip(REGIMES, names, strict=True)))).alias("x")
     posterior = signals.select(F.date_sub("signal_date", 1).alias("cutoff"), each).select("cutoff", "x.*").distinct()
     parts = []
     for kappa in sorted({s[0] for s in specifications.values()}):
-        mix = mixture(regime_return_model(known, kappa), posterior)
+        model = {k: keep(v) for k, v in regime_return_model(known, kappa).items()}
+        mix = mixture(model, posterior)
         cells = mix["covariance"].groupBy("cutoff").agg(F.sort_array(F.collect_list(F.struct("a", "b", "covariance"))).alias("cov"))
         mu = mix["expected"].groupBy("cutoff").agg(F.sort_array(F.collect_list(F.struct("ticker", "expected_return"))).alias("mu"))
         parts.append(cells.join(mu, "cutoff").withColumn("kappa", F.lit(float(kappa))))

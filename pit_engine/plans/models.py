@@ -134,6 +134,38 @@ def kalman_replay(spark, sf_dir):
     return M.replay(filter_events(spark, sf_dir), {"gaussian": None, "student_t_7": 7.0, "transition_only": 0.0}, PARAMETERS)
 
 
+def phased_records(spark, sf_dir):
+    from pit_engine.functions.emissions import EmissionSpec
+    from pit_engine.operators.phases import phased_filter as run
+    from pit_engine.plans import walkforward as K
+
+    seen, s = K.observed(spark, sf_dir), scores(spark, sf_dir).where("growth_score is not null and inflation_score is not null")
+    names = ["f_A", "f_R", "f_N"]
+    inputs = {
+        "events": seen["live"].select("event_id", "release_date", "reference_month", *names),
+        "training": seen["training"].select("reference_month", "training_available_at", *names, "growth_score", "inflation_score"),
+        "scores": s.select("month", "growth_score", "inflation_score", "available_at"),
+        "pairs": G.var_input(spark, sf_dir),
+        "mappings": s.select("month", "available_at", F.lit(0.1).alias("gg"), F.lit(0.02).alias("gi"), F.lit(0.1).alias("ii")),
+    }
+    spec = EmissionSpec(("f_A", "f_R"), ("growth_score", "inflation_score"), ("f_N",))
+    return run(inputs, spec, {"gaussian": (1.0, None), "student_t_7": (1.0, 7.0)}, "1998-01-01", "2000-06-30", 12, 8)
+
+
+@query()
+def phased_filter(spark, sf_dir):
+    """All nine phases of two specifications: checkpoints, event and score audits, evaluations."""
+    return phased_records(spark, sf_dir)
+
+
+@query()
+def decision_marginals(spark, sf_dir):
+    from pit_engine.operators.phases import decision_marginals as decide
+
+    weeks = spark.sql("SELECT explode(sequence(date'1998-01-05', date'2000-06-26', interval 7 days)) AS reference_week")
+    return decide(phased_records(spark, sf_dir), weeks)
+
+
 @query()
 def discrete_replay(spark, sf_dir):
     """The discrete filter over the same months, with the quadrant as the confirmed regime a month later."""

@@ -149,9 +149,9 @@ def mean_parity(spark, sf_dir):
 
 @query()
 def dynamic_targets(spark, sf_dir):
-    s = weekly_signals_table(spark, sf_dir)
+    s = shared(weekly_signals_table(spark, sf_dir))
     specs = {"base": (104.0, 10.0, 1.0), "loose": (104.0, 10.0, 1.5), "kappa_0": (0.0, 10.0, 1.0)}
-    return W.dynamic_targets(order_returns(spark, sf_dir), history(spark, sf_dir), s.where("reference_week >= date'2000-01-01'"), specs, 52, 0.5, 0.001)
+    return W.dynamic_targets(order_returns(spark, sf_dir), history(spark, sf_dir), s.where("reference_week >= date'2000-01-01'"), specs, 52, 0.5, 0.001, keep=shared)
 
 
 # ------------------------------------------------------------------ targets and diagnostics

@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, name):
 
 
 #: Queries that the smallest tables leave without a row.
-LARGER = {"dynamic_targets": "/root/testdata/sf0.01"}
+LARGER = dict.fromkeys(("dynamic_targets", "phased_filter", "decision_marginals"), "/root/testdata/sf0.01")
 
 
 def collected(spark, name):
@@ -202,7 +202,29 @@ def check_tuned_emissions(spark, got):
     assert len(got) == 1 and math.isclose(got[0].mean_nll, min(mean.values()), rel_tol=1e-9) and got[0].loadings[1] == got[0].loadings[2] == 0
 
 
+def check_phased_filter(spark, got):
+    from pit_engine.operators.phases import PHASES
+
+    points = [r for r in got if r.kind == "checkpoint"]
+    assert {r.phase for r in points} == set(PHASES) and {r.variant for r in points} == {"evidence_filter", "transition_only"}
+    assert all(PHASES[r.phase] == r.phase_order for r in points)
+    by = {}
+    for r in points:
+        by.setdefault(r.specification, []).append((r.date, r.phase_order, r.sequence))
+    assert all(sorted(v, key=lambda x: x[2]) == sorted(v) for v in by.values())
+    check_probabilities(spark, points)
+    status = {r.status for r in got if r.kind == "event"}
+    assert "applied" in status and {r.status for r in got if r.kind == "exact"} >= {"conditioned_exactly"}
+    assert any(r.event_weight != 1 for r in got if r.kind == "event" and r.specification == "student_t_7" and r.event_weight)
+
+
+def check_decision_marginals(spark, got):
+    check_probabilities(spark, got)
+    assert all(r.signal_date <= r.reference_week and r.reference_month <= r.reference_week for r in got) and len({(r.specification, r.reference_week) for r in got}) == len(got) > 200
+
+
 CHECKS = {
+    "phased_filter": check_phased_filter, "decision_marginals": check_decision_marginals,
     "gaussian_quadrants": check_gaussian_quadrants, "transition_intervals": check_transition_intervals, "robust_var": check_robust_var, "var_weight_audit": check_var_weight_audit,
     "emission_lambda": check_emission_lambda, "emission_residuals": check_emission_residuals, "student_t_fit": check_student_t_fit, "kalman_replay": check_probabilities, "discrete_replay": check_probabilities,
     "optimizer_weights": check_weights, "active_weights": check_weights, "dynamic_targets": check_weights, "serial_tests": check_serial_tests, "cross_correlation_tests": check_cross_correlation_tests,
