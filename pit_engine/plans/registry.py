@@ -1,8 +1,7 @@
-"""All queries of the analytics library and their SQL counterparts."""
+"""All queries of the analytics library and their SQL counterparts; the package registers them when it is imported."""
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-for _family in ("pit", "features", "regimes", "portfolio", "statistics", "models", "walkforward", "forecasts", "weekly"):
-    importlib.import_module(f"pit_engine.plans.{_family}")

@@ -6,7 +6,9 @@ import hashlib
 import json
 import os
 import tempfile
+from datetime import datetime
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,21 +29,41 @@ def atomic_write(path: Path, data: bytes) -> None:
         raise
 
 
+#: Names of query parameters that authenticate.
+SECRET_KEYS = ("api_key", "apikey", "key", "token", "access_token")
+
+
 class SnapshotStore:
     """Bytes under their SHA-256 with one JSON receipt for each capture."""
 
     def __init__(self, root: str | Path):
         self.root = Path(root)
 
-    def capture(self, content: bytes, *, provider_id: str, series_id: str, source_url: str, query: dict, retrieved_at: str) -> dict:
-        """Store the bytes once and return the receipt; the same receipt twice is fine, another one is an error."""
+    def capture(self, content: bytes, *, provider_id: str, series_id: str, source_url: str, query: dict, retrieved_at: str, retrieval_status: str = "retrieved") -> dict:
+        """Store the bytes once and return the receipt.
+
+        The same capture twice is fine. Other bytes for one provider, series,
+        URL, query and time are an error, and so are an empty name, a URL that
+        is not absolute or carries a password, a query with a key of an API, and
+        a time without its zone.
+        """
+        url, when = urlsplit(source_url), datetime.fromisoformat(retrieved_at)
+        if not provider_id or not series_id or not url.scheme or url.password or (url.scheme != "file" and not url.netloc):
+            raise ValueError("a capture needs a provider, a series and an absolute URL without a password")
+        if any(k.lower() in SECRET_KEYS for k in query) or any(f"{k}=" in url.query.lower() for k in SECRET_KEYS):
+            raise ValueError("a capture's query must not hold a key")
+        if when.tzinfo is None:
+            raise ValueError("retrieved_at needs a time zone")
         digest = hashlib.sha256(content).hexdigest()
         blob = self.root / "objects" / digest[:2] / digest
         if not blob.exists():
             atomic_write(blob, content)
-        receipt = {"sha256": digest, "bytes": len(content), "provider_id": provider_id, "series_id": series_id, "source_url": source_url, "query": query, "retrieved_at": retrieved_at}
+        receipt = {"sha256": digest, "bytes": len(content), "provider_id": provider_id, "series_id": series_id, "source_url": source_url, "query": query, "retrieved_at": retrieved_at, "retrieval_status": retrieval_status}
         text = strict_json(receipt).encode()
-        place = self.root / "receipts" / f"{hashlib.sha256(text).hexdigest()}.json"
+        what = strict_json({k: receipt[k] for k in ("provider_id", "series_id", "source_url", "query", "retrieved_at")}).encode()
+        place = self.root / "receipts" / f"{hashlib.sha256(what).hexdigest()}.json"
+        if place.exists() and place.read_bytes() != text:
+            raise ValueError(f"another capture of {series_id} at {retrieved_at} has other bytes or another status")
         if not place.exists():
             atomic_write(place, text)
         return receipt

@@ -59,10 +59,12 @@ def erf_tail(x):
 def check_gaussian_quadrants(spark, got):
     import numpy as np
 
+    from pit_engine.plans.inputs import scores
+
     # P(G >= 0, I >= 0) by summing over a fine grid of G.
     z = np.linspace(-8, 8, 20001)
     w = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (z[1] - z[0])
-    s = {r.month: r for r in registry.importlib.import_module("pit_engine.plans.inputs").scores(spark, DIR).collect()}
+    s = {r.month: r for r in scores(spark, DIR).collect()}
     for r in got[:10]:
         g, i = s[r.month].growth_score, s[r.month].inflation_score
         gg = g + 0.5 * z

@@ -25,8 +25,14 @@ def test_bad_vintage_columns():
 
 def test_snapshots_detect_changes(tmp_path):
     s = snapshots.SnapshotStore(tmp_path)
-    r = s.capture(b"abc", provider_id="p", series_id="s", source_url="u", query={}, retrieved_at="t")
-    assert s.capture(b"abc", provider_id="p", series_id="s", source_url="u", query={}, retrieved_at="t") == r and s.read(r) == b"abc"
+    what = {"provider_id": "p", "series_id": "s", "source_url": "https://example.org/x", "query": {"id": "s"}, "retrieved_at": "2024-01-01T00:00:00+00:00"}
+    r = s.capture(b"abc", **what)
+    assert s.capture(b"abc", **what) == r and s.read(r) == b"abc" and r["retrieval_status"] == "retrieved"
+    with pytest.raises(ValueError, match="other bytes"):
+        s.capture(b"abd", **what)
+    for bad in ({"source_url": "x"}, {"source_url": "https://u:p@example.org"}, {"query": {"api_key": "k"}}, {"source_url": "https://example.org/?token=1"}, {"retrieved_at": "2024-01-01"}, {"provider_id": ""}):
+        with pytest.raises(ValueError):
+            s.capture(b"abc", **what | bad)
     next((tmp_path / "objects").rglob(r["sha256"])).write_bytes(b"abd")
     with pytest.raises(ValueError):
         s.read(r)
