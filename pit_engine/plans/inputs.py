@@ -6,6 +6,8 @@ Each derivation has its SQL counterpart, used by the oracle queries.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,22 @@ def shared(df: DataFrame) -> DataFrame:
     return kept
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """A small derived table, checkpointed: what is built on it has a short plan.
+
+    The folder is the session's ``spark.checkpoint.dir``; only on one machine,
+    where that is unset, a folder of our own. Without any it is ``shared``.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            return shared(df)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def release() -> None:
     """Forget all derived tables that queries have kept so far."""
     while _kept:

@@ -7,6 +7,8 @@ DataFrames that ``sources.snapshots.write_table`` can store.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,10 +186,13 @@ def build_expanded_universe(targets: DataFrame, caps: DataFrame, expanded: dict[
     }
 
 
-def weekly_live_update(archive: DataFrame, growth: list[str], inflation: list[str], marginals: DataFrame, variant: str, weeks: DataFrame, prices: DataFrame, tickers: int, specifications: dict[str, tuple[float, float, float]], minimum: int, cap: float, cost: float, score_minimum: int = 60) -> dict[str, DataFrame]:
-    """One run from releases to targets: scores, regimes, signals, returns, targets and their simulation."""
-    built = build_scores(archive, growth, inflation, score_minimum)
-    signals = K.select_signals(marginals, weeks, variant)
-    returns = K.estimator_history(B.holding_returns(prices, tickers, F.trunc("date", "week"), F.date_add("period", 7)))
-    targets = K.dynamic_targets(returns, built["regimes"], signals, specifications, minimum, cap, cost)
+def weekly_live_update(archive: DataFrame, growth: list[str], inflation: list[str], marginals: DataFrame, variant: str, weeks: DataFrame, prices: DataFrame, tickers: int, specifications: dict[str, tuple[float, float, float]], minimum: int, cap: float, cost: float, score_minimum: int = 60, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """One run from releases to targets: scores, regimes, signals, returns, targets and their simulation.
+
+    ``keep`` may write the calendars that later steps read several times.
+    """
+    built = {k: keep(v) for k, v in build_scores(archive, growth, inflation, score_minimum).items()}
+    signals = keep(K.select_signals(marginals, weeks, variant))
+    returns = keep(K.estimator_history(B.holding_returns(prices, tickers, F.trunc("date", "week"), F.date_add("period", 7))))
+    targets = keep(K.dynamic_targets(returns, built["regimes"], signals, specifications, minimum, cap, cost, keep=keep))
     return {**built, "signals": signals, "returns": returns, "targets": targets, "simulation": B.simulate(targets.drop("status"), returns, cost)}

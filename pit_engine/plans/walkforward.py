@@ -137,7 +137,7 @@ def emission_row_selection(spark, sf_dir):
     return K.select_emission_rows(rows, ["f_A", "f_R", "growth_score", "inflation_score", "f_N"], "known", F.lit("1999-01-01").cast("date")).select("reference_month", "exclusion_reason")
 
 
-@query(f"{_OBS}, k AS (SELECT * FROM training WHERE training_available_at < DATE '1998-01-01') SELECT 'f_N' AS control, count(*) AS n, max(f_N) - min(f_N) > 1e-12 AS active FROM k UNION ALL SELECT 'constant', count(*), false FROM k")
+@query(f"{_OBS}, k AS (SELECT * FROM training WHERE training_available_at < DATE '1998-01-01') SELECT 'f_N' AS control, count(*) AS n, max(f_N) - min(f_N) > 1e-12 AS active FROM k HAVING count(*) > 0 UNION ALL SELECT 'constant', count(*), false FROM k HAVING count(*) > 0")
 def active_controls(spark, sf_dir):
     t = observed(spark, sf_dir)["training"].withColumn("constant", F.lit(1.0))
     return K.active_controls(t, ["f_N", "constant"], F.lit("1998-01-01").cast("date"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pit_engine.operators import backtest as B
 from pit_engine.operators import weekly as W
 from pit_engine.operators.windows import max_drawdown
-from pit_engine.plans.inputs import SCORES, cents, scores, shared, table
+from pit_engine.plans.inputs import SCORES, cents, scores, settle, shared, table
 from pit_engine.plans.portfolio import _DRAWDOWN, _SCHEDULE, nav, simulation, targets
 from pit_engine.plans.regimes import history
 from pit_engine.plans.registry import query
@@ -149,9 +149,9 @@ def mean_parity(spark, sf_dir):
 
 @query()
 def dynamic_targets(spark, sf_dir):
-    s = shared(weekly_signals_table(spark, sf_dir))
-    specs = {"base": (104.0, 10.0, 1.0), "loose": (104.0, 10.0, 1.5), "kappa_0": (0.0, 10.0, 1.0)}
-    return W.dynamic_targets(order_returns(spark, sf_dir), history(spark, sf_dir), s.where("reference_week >= date'2000-01-01'"), specs, 52, 0.5, 0.001, keep=shared)
+    s = settle(weekly_signals_table(spark, sf_dir))
+    specs = {"base": (104.0, 100.0, 1.0), "loose": (104.0, 100.0, 1.5), "kappa_0": (0.0, 100.0, 1.0)}
+    return W.dynamic_targets(settle(order_returns(spark, sf_dir)), settle(history(spark, sf_dir)), s.where("reference_week >= date'2000-01-01'"), specs, 52, 0.5, 0.001, keep=settle)
 
 
 # ------------------------------------------------------------------ targets and diagnostics

@@ -167,13 +167,13 @@ def weekly_prices(spark, weeks=120):
 
 def test_weekly_live_update_and_the_diagnostics_of_its_targets(spark):
     from pit_engine.operators import weekly as K
+    from pit_engine.plans.inputs import settle
 
     mondays = [date(2001, 3, 5) + relativedelta(weeks=k) for k in range(20)]
     weeks = spark.createDataFrame([(d,) for d in mondays], "reference_week date")
     marginals = spark.createDataFrame([("v", d, d.replace(day=1), 0.4, 0.3, 0.2, 0.1) for d in mondays], "variant_id string, signal_date date, reference_month date, p_uu double, p_du double, p_ud double, p_dd double")
     specs = {"base": (104.0, 10.0, 1.0), "loose": (0.0, 10.0, 1.5)}
-    out = stages.weekly_live_update(archive(spark), ["g1", "g2"], ["i1", "i2"], marginals, "v", weeks, weekly_prices(spark), 3, specs, 4, 0.5, 0.001, 6)
-    out = {k: v.persist() for k, v in out.items()}
+    out = stages.weekly_live_update(archive(spark), ["g1", "g2"], ["i1", "i2"], marginals, "v", weeks, weekly_prices(spark), 3, specs, 4, 0.5, 0.001, 6, keep=settle)
     # A first Wednesday is no whole week.
     assert out["returns"].agg(F.min("period")).first()[0] == date(2000, 1, 10)
     sums = out["targets"].groupBy("method", "period").agg(F.sum("target_weight").alias("s"), F.max("target_weight").alias("m")).collect()
@@ -188,7 +188,7 @@ def test_weekly_live_update_and_the_diagnostics_of_its_targets(spark):
     cutoff = spark.createDataFrame([(date(2001, 6, 1),)], "cutoff date")
     labelled = K.labelled_returns(out["returns"], out["regimes"], cutoff)
     posterior = cutoff.select("cutoff", F.explode(F.array(*(F.struct(F.lit(r).alias("regime_id"), F.lit(0.25).alias("p")) for r in ("UU", "DU", "UD", "DD")))).alias("x")).select("cutoff", "x.*")
-    wide, narrow = K.regime_return_model(labelled, 10.0), K.regime_return_model(labelled.where("ticker <> 'c'"), 10.0)
+    wide, narrow = ({k: settle(v) for k, v in K.regime_return_model(r, 10.0).items()} for r in (labelled, labelled.where("ticker <> 'c'")))
     caps = spark.createDataFrame([(t, 0.5) for t in "abc"], "ticker string, cap double")
     e = stages.build_expanded_universe(out["targets"], caps, wide, narrow, posterior, out["returns"], ("loose", "base"))
     assert e["parity"].first().cells == 2 and e["risk_change"].first().tickers == 2 and e["utilization"].count() == 6 and e["assets"].count() == 3
