@@ -81,7 +81,8 @@ def cuts(spark):
 
 
 def model(spark, sf_dir, kappa=_KAPPA):
-    return W.regime_return_model(W.labelled_returns(order_returns(spark, sf_dir), history(spark, sf_dir), cuts(spark)), kappa)
+    known = settle(W.labelled_returns(order_returns(spark, sf_dir), history(spark, sf_dir), cuts(spark)))
+    return {k: settle(v) for k, v in W.regime_return_model(known, kappa).items()}
 
 
 def posterior(spark):
